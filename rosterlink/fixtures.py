@@ -1,11 +1,13 @@
 """Inputs of the registered queries, derived from the TPC-H-like tables.
 
-Each text runs in Spark and in DuckDB, apart from the two marks ``<g>`` (the
-global flag of ``regexp_replace``) and ``<ranks>`` (seven ranks per document).
+Each text runs in Spark and in DuckDB, apart from the mark ``<ranks>``: seven
+attempts for each row of a table.
 """
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import DataFrame, SparkSession
 
 ROSTER = """
@@ -122,16 +124,13 @@ def build(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def duckdb_text(name: str) -> str:
-    """The same view as a self-contained query for DuckDB."""
+    """The same view for DuckDB, over tables and views of these names."""
     ranked = _RANKED.get(name, "")
     text = VIEWS[name].replace(
         "<ranks>", f"(SELECT *, unnest(range(0, 7)) AS r FROM {{{ranked}}}) AS k"
     )
-    parts = {n: f"({duckdb_text(n)}) AS {n}_" if n in VIEWS else n for n in _inputs(text)}
-    return text.format(**parts)
+    return text.format(**{n: n for n in _inputs(text)})
 
 
 def _inputs(text: str) -> list[str]:
-    from string import Formatter
-
     return sorted({field for _, field, _, _ in Formatter().parse(text) if field})

@@ -41,8 +41,13 @@ def stem_sources(stems: DataFrame, documents: DataFrame, scope: list[str]) -> Da
     # The empty stem is in every name; it needs one stretch only.
     last_start = F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.length("_name") - F.col("_n") + 1)
     stretches = (
-        documents.select(*scope, name.alias("_name"), F.struct("doc_seq", "name", "mime").alias("_doc"))
-        .withColumn("_n", F.explode(F.filter(lengths, lambda n: n <= F.length("_name"))))
+        documents.select(
+            *scope,
+            name.alias("_name"),
+            F.struct("doc_seq", "name", "mime").alias("_doc"),
+            lengths.alias("_lengths"),
+        )
+        .withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_name"))))
         .withColumn("_at", F.explode(F.sequence(F.lit(1), last_start)))
         .withColumn("stem", F.substring("_name", F.col("_at"), F.col("_n")))
     )

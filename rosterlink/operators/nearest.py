@@ -47,6 +47,11 @@ MOST_FREQUENT_PARTS = 100_000
 STEPS = (1, 3, None)
 
 
+def _spread(df: DataFrame, column: str) -> DataFrame:
+    """Names evenly over all shuffle partitions: each becomes many keys."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
+
+
 def _limit(length: Column, cap: int | None) -> Column:
     own = accepted_edits(length)
     return own if cap is None else F.least(own, F.lit(cap))
@@ -302,11 +307,11 @@ def nearest_names(
     characters; ``names`` holds distinct ``nombre`` with an orderable ``primero``
     that decides ties.
     """
-    names = stored(names)
+    names = stored(_spread(names, "nombre"))
     n_names = names.count()
     equal = names.select(F.col("nombre").alias("consulta"), F.col("primero"))
     state = stored(
-        lookup_join(queries, equal, ["consulta"], seq="consulta").withColumn(
+        lookup_join(_spread(queries, "consulta"), equal, ["consulta"], seq="consulta").withColumn(
             "hallado",
             F.when(F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero")),
         ).drop("primero")
