@@ -13,24 +13,26 @@ the other name at most ``2k - 1`` places away, and what follows it must fit in
 the edits that are left. A part and a stretch of text are within one edit if
 they are equal after dropping one character from one of them or, at the same
 place, from both. So candidates come from an equi-join on (length, part, dropped
-place, remaining text).
+place, remaining text), and a pair is dropped by its character counts, or else
+by its distance, inside the join.
 
 Distances are tried in steps: equal names first, then up to 1 edit, up to 3, and
 at last up to the name's own limit, each time only for the names still open. A
 name found within a step needs no wider step, as all roster names within the
 step's distance were candidates.
 
-Frequent parts (a common surname) are not joined as they are. Their pairs must
-also share a part of the text that remains once the first shared part is taken
-out, which loses nothing, as that text is within ``t`` edits too. Parts that are
-still frequent are joined in blocks, so that no task gets a whole group.
+Frequent parts (a common surname) would pair far too many names. Names that hold
+one are cut again in ``p + s`` parts: at least ``s + 1`` of these survive with at
+most one edit, so the ``s`` most frequent parts of each name can be left out
+without losing a pair. Parts that are frequent even then are joined in blocks, so
+that no task gets a whole group.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import stored
@@ -38,8 +40,18 @@ from ..functions.text import SHORTEST_NAME, accepted_edits, known, search_name
 from .joins import lookup_join
 from .lookup import lookup
 
-# A shared part with more candidate pairs than this is refined, then split.
-PAIRS_PER_TASK = 10_000_000
+# Characters counted one by one in a name's signature; all others count together.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+# Bits per character: counts above this are taken as equal.
+COUNT_BITS = 3
+ONES = [2**n - 1 for n in range(COUNT_BITS + 1)]
+PER_LONG = 63 // COUNT_BITS
+
+# A part with more candidate pairs than this is frequent.
+PAIRS_PER_TASK = 250_000
+# Parts that a name with frequent parts gets on top, and their least length.
+MOST_SPARE_PARTS = 3
+LEAST_PART = 4
 # Only so many frequent parts are treated apart: 24 bytes each when broadcast.
 # The rest, all with fewer pairs, join as they are.
 MOST_FREQUENT_PARTS = 100_000
@@ -52,6 +64,43 @@ def _spread(df: DataFrame, column: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
 
 
+def _signatures(text: Column) -> dict[str, Column]:
+    """Two longs with as many ones per character as the text holds, up to three.
+
+    An edit changes at most one count up and one down, so two texts within ``t``
+    edits have at most ``t`` ones that the other lacks, on either side.
+    """
+    length = F.length(text)
+    ones_of = F.array(*(F.lit(n).cast("long") for n in ONES))
+
+    def count(c: str) -> Column:
+        return length - F.length(F.translate(text, c, ""))
+
+    counts = [count(c) for c in COUNTED] + [F.length(F.translate(text, COUNTED, ""))]
+    out = {}
+    for name, part in (("_low", counts[:PER_LONG]), ("_high", counts[PER_LONG:])):
+        bits = F.lit(0).cast("long")
+        for i, n in enumerate(part):
+            # 0, 1, 3 or 7
+            ones = F.element_at(ones_of, F.least(n, F.lit(COUNT_BITS)) + 1)
+            bits = bits.bitwiseOR(F.shiftleft(ones, i * COUNT_BITS))
+        out[name] = bits
+    return out
+
+
+def _named(prefix: str, text: Column) -> dict[str, Column]:
+    return {f"{prefix}{name}": bits for name, bits in _signatures(text).items()}
+
+
+def _near_signatures(a: str, b: str) -> Column:
+    def lacking(x: str, y: str) -> Column:
+        return F.bit_count(
+            F.col(f"{x}_low").bitwiseAND(F.bitwise_not(f"{y}_low"))
+        ) + F.bit_count(F.col(f"{x}_high").bitwiseAND(F.bitwise_not(f"{y}_high")))
+
+    return (lacking(a, b) <= F.col("_t")) & (lacking(b, a) <= F.col("_t"))
+
+
 def _limit(length: Column, cap: int | None) -> Column:
     own = accepted_edits(length)
     return own if cap is None else F.least(own, F.lit(cap))
@@ -61,14 +110,6 @@ def _without(text: Column, place: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), place - 1), F.substring(text, place + 1, F.length(text)))
 
 
-def _rest(text: Column, start: Column, length: Column) -> Column:
-    """``text`` without the stretch of ``length`` characters after ``start``."""
-    return F.concat(
-        F.substring(text, F.lit(1), start),
-        F.substring(text, start + length + 1, F.length(text)),
-    )
-
-
 def _code(length: Column, part: Column, place: Column) -> Column:
     """Length, part and dropped place in one number (places start at -1)."""
     return (
@@ -78,14 +119,17 @@ def _code(length: Column, part: Column, place: Column) -> Column:
     )
 
 
-def _with_part(df: DataFrame) -> DataFrame:
-    """Start and length of part ``_k`` of a text of ``_len`` cut for ``_t`` edits."""
-    parts = (F.col("_t") / 2).cast("int") + 1
+def _parts(spare: int) -> Column:
+    return (F.col("_t") / 2).cast("int") + 1 + spare
+
+
+def _exploded_parts(df: DataFrame, spare: int) -> DataFrame:
+    """Parts ``_k`` of a text of ``_len``: ``_start`` and ``_size``, later parts longer."""
+    parts = _parts(spare)
     base = (F.col("_len") / parts).cast("int")
-    longer = F.col("_len") % parts
+    shorter = parts - F.col("_len") % parts
     before = F.col("_k") - 1
-    shorter = parts - longer
-    return df.withColumns(
+    return df.withColumn("_k", F.explode(F.sequence(F.lit(1), parts))).withColumns(
         {
             "_start": before * base + F.greatest(F.lit(0), before - shorter),
             "_size": base + (F.col("_k") > shorter).cast("int"),
@@ -93,19 +137,16 @@ def _with_part(df: DataFrame) -> DataFrame:
     )
 
 
-def _exploded_parts(df: DataFrame) -> DataFrame:
-    parts = (F.col("_t") / 2).cast("int") + 1
-    return _with_part(df.withColumn("_k", F.explode(F.sequence(F.lit(1), parts))))
-
-
-def _query_keys(df: DataFrame, text: str) -> DataFrame:
-    """Keys of the parts of ``text``; needs ``_len`` and ``_t``."""
-    part = F.substring(text, F.col("_start") + 1, F.col("_size"))
+def _query_keys(queries: DataFrame, cap: int | None, spare: int) -> DataFrame:
+    """Keys of the parts of every query."""
+    length = F.length("consulta")
+    sized = queries.withColumns({"_len": length, "_t": _limit(length, cap)})
+    part = F.substring("consulta", F.col("_start") + 1, F.col("_size"))
     # Place 0 is the whole part, against a longer stretch. A part without its
     # character x stands against an equally long stretch without its character
     # x, and (place -1) against a shorter stretch as it is.
     return (
-        _exploded_parts(df)
+        _exploded_parts(sized, spare)
         .withColumn("_part", part)
         .withColumn("_v", F.explode(F.sequence(-F.col("_size"), F.col("_size"))))
         .withColumn(
@@ -121,49 +162,58 @@ def _query_keys(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _roster_keys(df: DataFrame, text: str) -> DataFrame:
-    """Keys of the stretches of ``text`` that may be a part of a text of ``_len``."""
-    spent = 2 * (F.col("_k") - 1)
-    reach = F.least(spent + 1, F.col("_t"))
+def _roster_keys(
+    names: DataFrame, cap: int | None, lengths: list[int], spare: int
+) -> DataFrame:
+    """Keys of the stretches of a roster name that may be a part of a query."""
+    size = F.length("nombre")
+    # |L - size| <= max(3, L / 4) bounds L on both sides; the last filter is exact.
+    low = F.least(size - 3, (size * 4 / 5).cast("int") - 1)
+    high = F.greatest(size + 3, (size * 4 / 3).cast("int") + 1)
+    if cap is not None:
+        low, high = F.greatest(low, size - cap), F.least(high, size + cap)
+    asked = F.array(*(F.lit(n) for n in lengths))
+    sized = (
+        names.withColumn("_len", F.explode(F.filter(asked, lambda n: n.between(low, high))))
+        .withColumn("_t", _limit(F.col("_len"), cap))
+        .filter(F.abs(size - F.col("_len")) <= F.col("_t"))
+    )
     # Place of the stretch against the part, and its length against the part's.
+    spent = F.lit(0) if spare else 2 * (F.col("_k") - 1)
+    reach = F.col("_t") if spare else F.least(spent + 1, F.col("_t"))
     shifts = F.when(F.col("_k") == 1, F.lit(0)).otherwise(reach)
     moves = F.sequence(F.lit(0), (2 * shifts + 1) * 3 - 1)
-    shift = (F.col("_w") / 3).cast("int") - shifts
-    growth = F.col("_w") % 3 - 1
-    total = F.length(text) - F.col("_len")
-    after = total - F.col("_shift") - F.col("_growth")
-    from_ = F.col("_start") + F.col("_shift")
-    size = F.col("_size") + F.col("_growth")
-    last_part = (F.col("_t") / 2).cast("int") + 1
+    shift, growth = F.col("_shift"), F.col("_growth")
+    after = size - F.col("_len") - shift - growth
+    from_, width = F.col("_start") + shift, F.col("_size") + growth
     possible = (
-        (F.abs("_shift") <= spent + 1 - F.abs("_growth"))
-        & (
-            F.abs(after)
-            <= F.col("_t") - F.greatest(F.abs("_shift"), spent) - F.abs("_growth")
-        )
-        & ((F.col("_k") < last_part) | (after == 0))
+        (F.abs(after) <= F.col("_t") - F.greatest(F.abs(shift), spent) - F.abs(growth))
+        & ((F.col("_k") < _parts(spare)) | (after == 0))
         & (from_ >= 0)
-        & (from_ + size <= F.length(text))
+        & (from_ + width <= size)
     )
-    places = F.when(F.col("_growth") < 0, F.lit(1)).otherwise(size)
+    if not spare:
+        possible = possible & (F.abs(shift) <= spent + 1 - F.abs(growth))
     stretches = (
-        _exploded_parts(df)
+        _exploded_parts(sized, spare)
         .withColumn("_w", F.explode(moves))
-        .withColumns({"_shift": shift, "_growth": growth})
+        .withColumns(
+            {"_shift": (F.col("_w") / 3).cast("int") - shifts, "_growth": F.col("_w") % 3 - 1}
+        )
         .filter(possible)
-        .withColumns({"_from": from_, "_width": size})
-        .withColumn("_stretch", F.substring(text, F.col("_from") + 1, F.col("_width")))
+        .withColumn("_stretch", F.substring("nombre", from_ + 1, width))
     )
+    places = F.when(growth < 0, F.lit(1)).otherwise(width)
     place = (
-        F.when(F.col("_growth") < 0, F.lit(-1))
-        .when(F.col("_growth") > 0, F.lit(0))
+        F.when(growth < 0, F.lit(-1))
+        .when(growth > 0, F.lit(0))
         .otherwise(F.col("_x"))
     )
     return (
         stretches.withColumn("_x", F.explode(F.sequence(F.lit(1), places)))
         .withColumn(
             "_text",
-            F.when(F.col("_growth") < 0, F.col("_stretch")).otherwise(
+            F.when(growth < 0, F.col("_stretch")).otherwise(
                 _without(F.col("_stretch"), F.col("_x"))
             ),
         )
@@ -172,33 +222,15 @@ def _roster_keys(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _query_side(queries: DataFrame, cap: int | None) -> DataFrame:
-    length = F.length("consulta")
-    return queries.select("consulta", length.alias("_len"), _limit(length, cap).alias("_t"))
-
-
-def _roster_side(names: DataFrame, cap: int | None, lengths: list[int]) -> DataFrame:
-    """One row per roster name and query length it may be linked to."""
-    size = F.length("nombre")
-    # |L - size| <= max(3, L / 4) bounds L on both sides; the last filter is exact.
-    low = F.least(size - 3, (size * 4 / 5).cast("int") - 1)
-    high = F.greatest(size + 3, (size * 4 / 3).cast("int") + 1)
-    if cap is not None:
-        low, high = F.greatest(low, size - cap), F.least(high, size + cap)
-    asked = F.array(*(F.lit(n) for n in lengths))
-    return (
-        names.withColumn("_len", F.explode(F.filter(asked, lambda n: n.between(low, high))))
-        .withColumn("_t", _limit(F.col("_len"), cap))
-        .filter(F.abs(size - F.col("_len")) <= F.col("_t"))
-    )
+KEY = ["_code", "_text"]
 
 
 def _frequent(
-    queries: DataFrame, names: DataFrame, keys: list[str], n_names: int, pairs: int
+    queries: DataFrame, names: DataFrame, n_names: int, pairs: int
 ) -> DataFrame | None:
     """Hash, query count and name count of the keys with too many pairs, or None."""
-    key = F.xxhash64(*keys).alias("_hash")
-    # A key pairs at most all roster names per place, so few queries are safe.
+    key = F.xxhash64(*KEY).alias("_hash")
+    # Names are counted only for keys that enough queries ask for.
     asked = stored(
         queries.groupBy(key)
         .agg(F.count("*").alias("_nq"))
@@ -218,17 +250,33 @@ def _frequent(
     return None if frequent.isEmpty() else frequent
 
 
+def _without_heaviest(queries: DataFrame, frequent: DataFrame, spare: int) -> DataFrame:
+    """Keys of all parts but the ``spare`` most frequent ones of each query."""
+    heavy = (
+        queries.join(F.broadcast(frequent), "_hash")
+        .groupBy("consulta", "_k")
+        .agg(F.max("_nr").alias("_nr"))
+    )
+    # At most one row per part of the query.
+    heaviest = Window.partitionBy("consulta").orderBy(F.desc("_nr"), "_k")
+    dropped = heavy.withColumn("_nth", F.row_number().over(heaviest)).filter(
+        F.col("_nth") <= spare
+    )
+    return queries.join(dropped, ["consulta", "_k"], "left_anti")
+
+
 def _verified(queries: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     distance = F.expr("levenshtein(consulta, nombre, _t)")
     return (
-        queries.select("consulta", "_t", *keys)
-        .join(names.select("nombre", "primero", *keys), keys)
+        queries.select("consulta", "_t", "q_low", "q_high", *keys)
+        .join(names.select("nombre", "primero", "n_low", "n_high", *keys), keys)
+        .filter(_near_signatures("q", "n"))
         .filter(distance >= 0)
         .select("consulta", F.struct(distance.alias("d"), "primero").alias("hallado"))
     )
 
 
-def _blocks(queries: DataFrame, names: DataFrame, keys: list[str], pairs: int) -> DataFrame:
+def _blocks(queries: DataFrame, names: DataFrame, pairs: int) -> DataFrame:
     """Join frequent keys in blocks of at most ``pairs`` candidate pairs each."""
     side = max(1, math.isqrt(pairs))
     rows = F.ceil(F.col("_nq") / side).cast("int")
@@ -243,55 +291,48 @@ def _blocks(queries: DataFrame, names: DataFrame, keys: list[str], pairs: int) -
     right = names.withColumn("_col", F.pmod(F.xxhash64("nombre"), cols).cast("int")).withColumn(
         "_row", every(rows)
     )
-    return _verified(left, right, [*keys, "_row", "_col"])
+    return _verified(left, right, [*KEY, "_row", "_col"])
 
 
 def _candidates(
-    queries: DataFrame,
-    names: DataFrame,
-    keys: list[str],
-    n_queries: int,
-    n_names: int,
-    pairs: int,
-    refine: bool,
+    queries: DataFrame, names: DataFrame, n_names: int, cap: int | None, pairs: int
 ) -> list[DataFrame]:
-    """Verified pairs that agree on ``keys``, frequent keys treated apart."""
-    frequent = None
-    if n_queries * n_names > pairs:
-        frequent = _frequent(queries, names, keys, n_names, pairs)
-    if frequent is None:
-        return [_verified(queries, names, keys)]
-    small = F.broadcast(frequent)
-    key = F.xxhash64(*keys)
-    queries, names = queries.withColumn("_hash", key), names.withColumn("_hash", key)
-    found = [
-        _verified(
-            queries.join(small, "_hash", "left_anti"), names.join(small, "_hash", "left_anti"), keys
-        )
-    ]
-    queries, names = queries.join(small, "_hash"), names.join(small, "_hash")
-    if not refine:
-        return [*found, _blocks(queries, names, keys, pairs)]
-    # Both sides know length, edits and size of the part, so both agree on
-    # whether what remains is long enough to be cut again.
-    remaining = F.col("_len") - F.col("_size")
-    long_enough = remaining >= 2 * ((F.col("_t") / 2).cast("int") + 1)
-    found.append(_blocks(queries.filter(~long_enough), names.filter(~long_enough), keys, pairs))
-    renamed = {k: f"{k}1" for k in keys}
-
-    def again(df: DataFrame, rest: Column, make) -> DataFrame:
-        kept = (
-            df.filter(long_enough)
-            .withColumns({"_rest": rest, "_len": remaining})
-            .withColumnsRenamed(renamed)
-            .drop("_hash", "_nq", "_nr", "_k", "_start", "_size", "_from", "_width")
+    """Verified pairs of all queries; together they hold each pair within reach."""
+    found = []
+    for spare in range(MOST_SPARE_PARTS + 1):
+        # At most one value per length that occurs.
+        span = queries.agg(
+            F.count("*").alias("n"), F.collect_set(F.length("consulta")).alias("lengths")
+        ).first()
+        if not span["n"]:
+            break
+        asked = _query_keys(queries, cap, spare)
+        told = _roster_keys(names, cap, sorted(span["lengths"]), spare)
+        frequent = None
+        if span["n"] * n_names > pairs:
+            frequent = _frequent(asked, told, n_names, pairs)
+        if frequent is None:
+            found.append(_verified(asked, told, KEY))
+            break
+        small = F.broadcast(frequent)
+        key = F.xxhash64(*KEY)
+        asked, told = asked.withColumn("_hash", key), told.withColumn("_hash", key)
+        if spare:
+            asked = _without_heaviest(asked, frequent, spare)
+        finer = F.col("_len") >= LEAST_PART * _parts(spare + 1)
+        if cap == 1 or spare == MOST_SPARE_PARTS:
+            finer = F.lit(False)
+        held = stored(
+            asked.filter(finer)
+            .join(small, "_hash", "left_semi")
+            .select(*queries.columns)
+            .distinct()
         )
-        return make(kept, "_rest")
-
-    queries = again(queries, _rest(F.col("consulta"), F.col("_start"), F.col("_size")), _query_keys)
-    names = again(names, _rest(F.col("nombre"), F.col("_from"), F.col("_width")), _roster_keys)
-    keys = [*renamed.values(), *keys]
-    return [*found, *_candidates(queries, names, keys, n_queries, n_names, pairs, refine=False)]
+        asked = asked.join(held, "consulta", "left_anti")
+        found.append(_verified(asked.join(small, "_hash", "left_anti"), told, KEY))
+        found.append(_blocks(asked.join(small, "_hash"), told.join(small, "_hash"), pairs))
+        queries = _spread(held, "consulta")
+    return found
 
 
 def nearest_names(
@@ -307,39 +348,33 @@ def nearest_names(
     characters; ``names`` holds distinct ``nombre`` with an orderable ``primero``
     that decides ties.
     """
-    names = stored(_spread(names, "nombre"))
+    names = stored(_spread(names, "nombre").withColumns(_named("n", F.col("nombre"))))
     n_names = names.count()
+    if not n_names:
+        steps = ()
     equal = names.select(F.col("nombre").alias("consulta"), F.col("primero"))
     state = stored(
-        lookup_join(_spread(queries, "consulta"), equal, ["consulta"], seq="consulta").withColumn(
-            "hallado",
-            F.when(F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero")),
-        ).drop("primero")
+        lookup_join(_spread(queries, "consulta"), equal, ["consulta"], seq="consulta")
+        .withColumns(
+            {
+                **_named("q", F.col("consulta")),
+                "hallado": F.when(
+                    F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero")
+                ),
+            }
+        )
+        .drop("primero")
     )
     done = [state.filter("hallado is not null")]
     for cap in steps:
-        open_ = state.filter("hallado is null").select("consulta")
+        open_ = state.filter("hallado is null").drop("hallado")
         if cap is None:
             # Names whose own limit a former step has covered stay unlinked.
             covered = max((s for s in steps if s is not None), default=0)
             open_ = open_.filter(accepted_edits(F.length("consulta")) > covered)
-        # At most one value per length that occurs.
-        span = open_.agg(
-            F.count("*").alias("n"), F.collect_set(F.length("consulta")).alias("lengths")
-        ).first()
-        if not span["n"] or not n_names:
+        found = _candidates(_spread(open_, "consulta"), names, n_names, cap, pairs_per_task)
+        if not found:
             continue
-        asked = _query_keys(_query_side(open_, cap), "consulta")
-        told = _roster_keys(_roster_side(names, cap, sorted(span["lengths"])), "nombre")
-        found = _candidates(
-            asked,
-            told,
-            ["_code", "_text"],
-            span["n"],
-            n_names,
-            pairs_per_task,
-            refine=cap != 1,
-        )
         pairs = found[0]
         for more in found[1:]:
             pairs = pairs.union(more)

@@ -6,7 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlink.functions.text import search_name
-from rosterlink.operators.nearest import link_by_name, link_count, nearest_names, roster_names
+from rosterlink.operators.nearest import (
+    PAIRS_PER_TASK,
+    link_by_name,
+    link_count,
+    nearest_names,
+    roster_names,
+)
 
 
 def distance(a, b):
@@ -63,13 +69,20 @@ def found(df):
     return {r["consulta"]: (r["d"], r["primero"]["seq"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("pairs", [10_000_000, 40, 1])
 @pytest.mark.parametrize(
-    "letters, shortest, longest",
-    [("ab", 0, 9), ("abc ", 3, 22), ("abcdefghij ", 12, 40), ("ana lopez", 30, 64)],
+    "letters, shortest, longest, pairs",
+    [
+        ("ab", 0, 9, PAIRS_PER_TASK),
+        ("ab", 0, 9, 1),
+        ("abc ", 3, 22, PAIRS_PER_TASK),
+        ("abc ", 3, 22, 30),
+        ("abcdefghij ", 12, 40, PAIRS_PER_TASK),
+        ("abcdefghij ", 12, 40, 1),
+        ("ana lopez", 30, 64, 10),
+    ],
 )
 def test_nearest_equals_model(spark, letters, shortest, longest, pairs):
-    size = 60 if pairs > 40 else 25
+    size = 60 if pairs > 40 else 30
     names, queries = sample(f"{letters}{pairs}", letters, shortest, longest, size, size)
     asked, people = frames(spark, names, queries)
     ordered = [(i, n.lower()) for i, n in enumerate(names)]
@@ -77,16 +90,15 @@ def test_nearest_equals_model(spark, letters, shortest, longest, pairs):
     assert found(nearest_names(asked, people, pairs_per_task=pairs)) == expected
 
 
-def test_common_part_is_refined(spark):
-    """All names share a long part; every frequent key is cut again and in blocks."""
+def test_common_part(spark):
+    """All names share a long part, so they are cut finer and the rest goes in blocks."""
     rng = random.Random(5)
     names = [f"rodriguez {mistyped(rng, 'garcia perez', 5, 'abcdeir')}" for _ in range(40)]
     queries = sorted({mistyped(rng, n, rng.randint(2, 8), "abcdeir") for n in names})
     asked, people = frames(spark, names, queries)
     ordered = list(enumerate(names))
     expected = {q: m for q in queries if (m := model(q, ordered))}
-    for pairs in (100, 4):
-        assert found(nearest_names(asked, people, pairs_per_task=pairs)) == expected
+    assert found(nearest_names(asked, people, pairs_per_task=60)) == expected
 
 
 def test_steps_do_not_change_the_result(spark):
@@ -142,12 +154,23 @@ def test_link_rules(spark):
         assert link_count(linked).first()[0] == 4
 
 
-@pytest.mark.parametrize("length, limit", [(4, 3), (15, 3), (16, 4), (19, 4), (20, 5), (23, 5), (24, 6)])
-def test_threshold(spark, length, limit):
-    name = "abcdefghijklmnopqrstuvwxyz"[:length]
-    queries = [("0" * n + name[n:]) for n in (limit, limit + 1) if n < length]
-    asked, people = frames(spark, [name], queries)
-    assert found(nearest_names(asked, people)) == {queries[0]: (limit, 0)}
+def test_threshold(spark):
+    """At the limit of its length a name is linked, one edit further it is not."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    limits = {4: 3, 15: 3, 16: 4, 19: 4, 20: 5, 23: 5, 24: 6}
+    names = [letters[:n] for n in limits]
+    expected = {}
+    queries = []
+    for i, (n, limit) in enumerate(limits.items()):
+        at, beyond = (f"{'0' * k}{letters[k:n]}" for k in (limit, limit + 1))
+        expected[at] = (limit, i)
+        queries += [at, beyond] if limit + 1 < n else [at]
+    asked, people = frames(spark, names, queries)
+    assert found(nearest_names(asked, people)) == {
+        q: m for q in queries if (m := model(q, list(enumerate(names))))
+    }
+    for q, m in expected.items():
+        assert model(q, list(enumerate(names)))[0] == m[0]
 
 
 def test_empty_sides(spark):
