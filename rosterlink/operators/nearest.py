@@ -31,14 +31,17 @@ that no task gets a whole group.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import stored
-from ..functions.text import SHORTEST_NAME, accepted_edits, known, search_name
+from ..functions.text import LEAST_EDITS, SHORTEST_NAME, accepted_edits, known, search_name
 from .joins import lookup_join
 from .lookup import lookup
+from .sizing import broadcast_limit
 
 # Characters counted one by one in a name's signature; all others count together.
 COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -49,6 +52,10 @@ PER_LONG = 63 // COUNT_BITS
 
 # A part with more candidate pairs than this is frequent.
 PAIRS_PER_TASK = 250_000
+# Up to so many pairs in all, no part is called frequent.
+FEW_PAIRS = 5_000_000
+# Bytes of a key beside its two texts.
+KEY_OVERHEAD = 64
 # Parts that a name with frequent parts gets on top, and their least length.
 MOST_SPARE_PARTS = 3
 LEAST_PART = 4
@@ -56,7 +63,7 @@ LEAST_PART = 4
 # The rest, all with fewer pairs, join as they are.
 MOST_FREQUENT_PARTS = 100_000
 # Largest distance of each step; None is the limit of the name itself.
-STEPS = (1, 3, None)
+STEPS = (1, LEAST_EDITS, None)
 
 
 def _spread(df: DataFrame, column: str) -> DataFrame:
@@ -294,44 +301,69 @@ def _blocks(queries: DataFrame, names: DataFrame, pairs: int) -> DataFrame:
     return _verified(left, right, [*KEY, "_row", "_col"])
 
 
+@dataclass
+class _Span:
+    """What is known of the open queries before they are cut in parts."""
+
+    n: int
+    lengths: list[int]  # that occur, at most one value per length
+    key_bytes: int  # of all keys of their own limits, without spare parts
+
+
+def _span(queries: DataFrame) -> _Span:
+    length, size = F.length("consulta"), F.octet_length("consulta")
+    keys = 2 * length + accepted_edits(length) / 2 + 1
+    row = queries.agg(
+        F.count("*").alias("n"),
+        F.collect_set(length).alias("lengths"),
+        F.ceil(F.sum(keys * (2 * size + KEY_OVERHEAD))).alias("key_bytes"),
+    ).first()
+    return _Span(row["n"], sorted(row["lengths"]), row["key_bytes"] or 0)
+
+
 def _candidates(
-    queries: DataFrame, names: DataFrame, n_names: int, cap: int | None, pairs: int
+    queries: DataFrame,
+    names: DataFrame,
+    span: _Span,
+    n_names: int,
+    cap: int | None,
+    pairs: int,
 ) -> list[DataFrame]:
     """Verified pairs of all queries; together they hold each pair within reach."""
     found = []
     for spare in range(MOST_SPARE_PARTS + 1):
-        # At most one value per length that occurs.
-        span = queries.agg(
-            F.count("*").alias("n"), F.collect_set(F.length("consulta")).alias("lengths")
-        ).first()
-        if not span["n"]:
-            break
         asked = _query_keys(queries, cap, spare)
-        told = _roster_keys(names, cap, sorted(span["lengths"]), spare)
+        told = _roster_keys(names, cap, span.lengths, spare)
         frequent = None
-        if span["n"] * n_names > pairs:
+        # Within one edit, a key holds as many texts as there are letters at most.
+        if cap != 1 and span.n * n_names > pairs:
             frequent = _frequent(asked, told, n_names, pairs)
         if frequent is None:
-            found.append(_verified(asked, told, KEY))
-            break
+            return [*found, _verified(asked, told, KEY)]
         small = F.broadcast(frequent)
         key = F.xxhash64(*KEY)
         asked, told = asked.withColumn("_hash", key), told.withColumn("_hash", key)
         if spare:
             asked = _without_heaviest(asked, frequent, spare)
         finer = F.col("_len") >= LEAST_PART * _parts(spare + 1)
-        if cap == 1 or spare == MOST_SPARE_PARTS:
+        if spare == MOST_SPARE_PARTS:
             finer = F.lit(False)
         held = stored(
-            asked.filter(finer)
-            .join(small, "_hash", "left_semi")
-            .select(*queries.columns)
-            .distinct()
+            _spread(
+                asked.filter(finer)
+                .join(small, "_hash", "left_semi")
+                .select(*queries.columns)
+                .distinct(),
+                "consulta",
+            )
         )
+        span = _span(held)
         asked = asked.join(held, "consulta", "left_anti")
         found.append(_verified(asked.join(small, "_hash", "left_anti"), told, KEY))
         found.append(_blocks(asked.join(small, "_hash"), told.join(small, "_hash"), pairs))
-        queries = _spread(held, "consulta")
+        queries = held
+        if not span.n:
+            break
     return found
 
 
@@ -341,6 +373,7 @@ def nearest_names(
     *,
     steps: tuple[int | None, ...] = STEPS,
     pairs_per_task: int = PAIRS_PER_TASK,
+    few_pairs: int = FEW_PAIRS,
 ) -> DataFrame:
     """``consulta``, ``d`` and ``primero`` for each query that has an accepted name.
 
@@ -350,40 +383,37 @@ def nearest_names(
     """
     names = stored(_spread(names, "nombre").withColumns(_named("n", F.col("nombre"))))
     n_names = names.count()
-    if not n_names:
-        steps = ()
     equal = names.select(F.col("nombre").alias("consulta"), F.col("primero"))
+    found = F.when(F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero"))
     state = stored(
         lookup_join(_spread(queries, "consulta"), equal, ["consulta"], seq="consulta")
-        .withColumns(
-            {
-                **_named("q", F.col("consulta")),
-                "hallado": F.when(
-                    F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero")
-                ),
-            }
-        )
+        .withColumns({**_named("q", F.col("consulta")), "hallado": found})
         .drop("primero")
     )
     done = [state.filter("hallado is not null")]
+    covered = 0
     for cap in steps:
+        # Names whose own limit a former step has covered stay unlinked.
         open_ = state.filter("hallado is null").drop("hallado")
-        if cap is None:
-            # Names whose own limit a former step has covered stay unlinked.
-            covered = max((s for s in steps if s is not None), default=0)
-            open_ = open_.filter(accepted_edits(F.length("consulta")) > covered)
-        found = _candidates(_spread(open_, "consulta"), names, n_names, cap, pairs_per_task)
-        if not found:
-            continue
-        pairs = found[0]
-        for more in found[1:]:
-            pairs = pairs.union(more)
+        open_ = _spread(open_.filter(accepted_edits(F.length("consulta")) > covered), "consulta")
+        span = _span(open_)
+        if not span.n or not n_names:
+            break
+        # Few keys go to every task; the roster stays where it is.
+        few = span.n * n_names <= few_pairs and span.key_bytes <= broadcast_limit(names)
+        if few:
+            asked = F.broadcast(_query_keys(open_, cap, 0))
+            pairs = _verified(asked, _roster_keys(names, cap, span.lengths, 0), KEY)
+        else:
+            first, *others = _candidates(open_, names, span, n_names, cap, pairs_per_task)
+            pairs = reduce(DataFrame.union, others, first)
         best = pairs.groupBy("consulta").agg(F.min("hallado").alias("hallado"))
         state = stored(open_.join(best, "consulta", "left"))
         done.append(state.filter("hallado is not null"))
-    linked = done[0]
-    for more in done[1:]:
-        linked = linked.union(more)
+        if cap is None:
+            break
+        covered = cap
+    linked = reduce(DataFrame.union, done)
     return linked.select("consulta", "hallado.d", "hallado.primero")
 
 
