@@ -1,0 +1,97 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from rosterlink.operators.lookup import lookup
+from rosterlink.plans import submit
+from rosterlink.sinks.export import HEADER, export_lines, write_export
+from rosterlink.sinks.payload import payloads
+from rosterlink.sinks.register import COLUMNS, register_rows, rejected_payloads, replies
+
+
+@pytest.fixture(scope="module")
+def matched(spark):
+    roster = spark.createDataFrame(
+        [(i, f"{i:04d}ñ", f"name {i}", "ca;rgo", "área") for i in range(40)],
+        "seq long, dni string, nombre string, cargo string, area string",
+    )
+    rows = spark.createDataFrame(
+        [(i, f"{i % 50}ñ", f"n{99 - i}", f"ref{i % 3}" if i < 90 else "", "f.Png", "IA") for i in range(100)],
+        "seq long, dni string, nombre string, ref string, sourceFile string, method string",
+    )
+    return lookup(rows, roster)
+
+
+def expected(seqs):
+    return [f"{i % 50}Ñ;NAME {i % 50};CA;RGO;ÁREA;IA;f.Png" for i in seqs if i % 50 < 40]
+
+
+def written(path):
+    parts = sorted(path.glob("part-*"))
+    return "".join(p.read_text(encoding="utf-8") for p in parts).splitlines()
+
+
+def test_export_lines(matched):
+    got = [r["line"] for r in export_lines(matched).orderBy("seq").collect()]
+    assert got == expected(range(100))
+
+
+def test_write_export(matched, tmp_path):
+    write_export(matched, str(tmp_path / "plain"))
+    assert written(tmp_path / "plain") == [HEADER, *expected(range(100))]
+    write_export(matched, str(tmp_path / "sorted"), "nombre", "desc")
+    by_name = sorted(range(100), key=lambda i: f"n{99 - i}", reverse=True)
+    assert written(tmp_path / "sorted") == [HEADER, *expected(by_name)]
+    write_export(matched.filter(F.lit(False)), str(tmp_path / "none"))
+    assert written(tmp_path / "none") == [HEADER]
+
+
+def test_payloads(matched):
+    sent = payloads(matched, F.col("ref"), per_payload=10).collect()
+    by_ref = {}
+    for r in sorted(sent, key=lambda r: (r["IdRef"], r["parte"])):
+        data = json.loads(r["payload"])
+        assert list(data) == ["IdRef", "participantes"] and data["IdRef"] == r["IdRef"]
+        assert len(data["participantes"]) <= 10
+        by_ref.setdefault(r["IdRef"], []).extend(data["participantes"])
+    assert set(by_ref) == {"ref0", "ref1", "ref2"}
+    for n, ref in enumerate(sorted(by_ref)):
+        want = [i % 50 for i in range(90) if i % 3 == n and i % 50 < 40]
+        assert [p["ParticipanteDNI"] for p in by_ref[ref]] == [f"{i:04d}Ñ" for i in want]
+        assert [p["Participante"] for p in by_ref[ref]] == [f"NAME {i}" for i in want]
+        assert all(list(p) == ["Id", "ParticipanteDNI", "Participante", "Cargo", "Area"] for p in by_ref[ref])
+    whole = payloads(matched, F.lit("one")).collect()
+    assert [(r["IdRef"], r["parte"]) for r in whole] == [("one", 1)]
+    assert payloads(matched.filter(F.lit(False)), F.lit("one")).count() == 0
+    assert payloads(matched, F.lit("")).count() == 0
+
+
+def test_register(spark, matched, tmp_path):
+    path = str(tmp_path / "register")
+    first = submit(matched, F.col("ref"), path, per_payload=10).collect()
+    assert all(r["reply"] == '{"success":true}' for r in first)
+    register = spark.read.parquet(path)
+    assert register.columns == COLUMNS
+    count = sum(1 for i in range(90) if i % 50 < 40)
+    assert register.count() == count
+    submit(matched, F.col("ref"), path)
+    assert spark.read.parquet(path).count() == 2 * count
+
+
+def test_malformed_payloads(spark):
+    df = spark.createDataFrame(
+        [
+            ("not json",),
+            ('{"IdRef":"a"}',),
+            ('{"IdRef":"test","participantes":[]}',),
+            ('{"IdRef":"b","participantes":[{"Id":"x1","Area":"k"}]}',),
+            ('{"IdRef":"c","participantes":"text"}',),
+        ],
+        "payload string",
+    )
+    assert [tuple(r) for r in register_rows(df).collect()] == [("x1", "b", "", "", "", "k")]
+    assert {r["payload"][:8] for r in rejected_payloads(df).collect()} == {"not json", '{"IdRef"'}
+    assert rejected_payloads(df).count() == 3
+    said = [json.loads(r["reply"])["success"] for r in replies(df).collect()]
+    assert said == [False, False, True, True, False]
