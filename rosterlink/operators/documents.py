@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durable import stored
 from ..functions.text import file_stem, known
 from .joins import lookup_join
 from .sizing import fits_broadcast
@@ -26,7 +27,8 @@ def append_documents(current: DataFrame, new: DataFrame) -> DataFrame:
 
 def remove_documents(documents: DataFrame, removed: DataFrame) -> DataFrame:
     """The listing without the documents whose ``doc_seq`` is in ``removed``."""
-    return documents.join(removed.select("doc_seq"), "doc_seq", "left_anti")
+    gone = removed.select("doc_seq").distinct()
+    return lookup_join(documents, gone, ["doc_seq"], "left_anti", spread=False)
 
 
 def stem_sources(stems: DataFrame, documents: DataFrame, scope: list[str]) -> DataFrame:
@@ -74,8 +76,9 @@ def source_document(
     scope = scope or []
     stem = F.when(known(F.col("sourceFile")) != "", file_stem(F.col("sourceFile")))
     keyed = rows.withColumn("stem", stem)
-    stems = keyed.filter("stem is not null").select(*scope, "stem").distinct()
-    sources = stem_sources(stems, documents, scope)
+    # Both are far smaller than the rows and are read several times.
+    stems = stored(keyed.filter("stem is not null").select(*scope, "stem").distinct())
+    sources = stored(stem_sources(stems, documents, scope))
     visible = F.coalesce(F.col("documento.mime").startswith("image/"), F.lit(False))
     return (
         lookup_join(keyed, sources, [*scope, "stem"], "left", broadcast=broadcast)

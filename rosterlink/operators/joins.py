@@ -55,6 +55,7 @@ def lookup_join(
     *,
     seq: str = "seq",
     broadcast: bool | None = None,
+    spread: bool = True,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join ``rows`` with ``unique``, which has one row per key.
@@ -62,10 +63,13 @@ def lookup_join(
     ``unique`` is broadcast when its measured size is below the session's
     threshold. Otherwise both sides are shuffled, and heavy keys of ``rows`` are
     spread over several tasks by a hash of ``seq``, with the matching row of
-    ``unique`` repeated for each of them.
+    ``unique`` repeated for each of them. ``spread=False`` tells that no key of
+    ``rows`` can be heavy.
     """
     if broadcast is None:
         broadcast = fits_broadcast(unique)
     if broadcast:
         return rows.join(F.broadcast(unique), keys, how)
+    if not spread:
+        return rows.join(unique, keys, how)
     return _spread_join(rows, unique, keys, how, seq, rows_per_task)

@@ -386,7 +386,7 @@ def nearest_names(
     equal = names.select(F.col("nombre").alias("consulta"), F.col("primero"))
     found = F.when(F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero"))
     state = stored(
-        lookup_join(_spread(queries, "consulta"), equal, ["consulta"], seq="consulta")
+        lookup_join(_spread(queries, "consulta"), equal, ["consulta"], spread=False)
         .withColumns({**_named("q", F.col("consulta")), "hallado": found})
         .drop("primero")
     )

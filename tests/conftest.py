@@ -1,4 +1,9 @@
+import sys
+from pathlib import Path
+
 import pytest
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from pyspark.sql import SparkSession
 
 

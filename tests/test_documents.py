@@ -80,8 +80,10 @@ def test_corrections(spark):
         [(0, "x", "DEFAULT"), (1, "y", "IA"), (2, "z", "DEFAULT")], "seq long, dni string, method string"
     )
     log = spark.createDataFrame([(1, 2, "late"), (1, 1, "early"), (2, 1, ""), (9, 1, "q")], "seq long, n int, dni string")
-    got = {r["seq"]: (r["dni"], r["method"]) for r in apply_corrections(rows, log, "n").collect()}
-    assert got == {0: ("x", "DEFAULT"), 1: ("late", "MANUAL"), 2: ("", "MANUAL")}
+    for broadcast in (True, False, None):
+        fixed = apply_corrections(rows, log, "n", broadcast=broadcast)
+        got = {r["seq"]: (r["dni"], r["method"]) for r in fixed.collect()}
+        assert got == {0: ("x", "DEFAULT"), 1: ("late", "MANUAL"), 2: ("", "MANUAL")}
     once = log.filter("n = 1")
     got = {r["seq"]: (r["dni"], r["method"]) for r in apply_corrections(rows, once).collect()}
     assert got[1] == ("early", "MANUAL")
