@@ -345,23 +345,25 @@ def _candidates(
         asked, told = asked.withColumn("_hash", key), told.withColumn("_hash", key)
         if spare:
             asked = _without_heaviest(asked, frequent, spare)
-        finer = F.col("_len") >= LEAST_PART * _parts(spare + 1)
-        if spare == MOST_SPARE_PARTS:
-            finer = F.lit(False)
-        held = stored(
+        # Queries with a frequent part are cut finer as long as the parts stay
+        # long enough, and go in blocks otherwise.
+        finer = F.lit(spare < MOST_SPARE_PARTS) & (
+            F.col("_len") >= LEAST_PART * _parts(spare + 1)
+        )
+        crowded = stored(
             _spread(
-                asked.filter(finer)
-                .join(small, "_hash", "left_semi")
-                .select(*queries.columns)
+                asked.join(small, "_hash", "left_semi")
+                .select(*queries.columns, finer.alias("_finer"))
                 .distinct(),
                 "consulta",
             )
         )
-        span = _span(held)
-        asked = asked.join(held, "consulta", "left_anti")
+        queries = crowded.filter("_finer").drop("_finer")
+        asked = asked.join(queries.select("consulta"), "consulta", "left_anti")
         found.append(_verified(asked.join(small, "_hash", "left_anti"), told, KEY))
-        found.append(_blocks(asked.join(small, "_hash"), told.join(small, "_hash"), pairs))
-        queries = held
+        if not crowded.filter("not _finer").isEmpty():
+            found.append(_blocks(asked.join(small, "_hash"), told.join(small, "_hash"), pairs))
+        span = _span(queries)
         if not span.n:
             break
     return found

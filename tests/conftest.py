@@ -2,10 +2,11 @@ import sys
 from pathlib import Path
 
 import pytest
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from pyspark.sql import SparkSession
 
+HERE = Path(__file__).resolve().parent
+sys.path[:0] = [str(HERE), str(HERE.parent)]
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

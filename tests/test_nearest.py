@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from rosterlink.functions.text import search_name
 from rosterlink.operators.nearest import (
     FEW_PAIRS,
+    KEY,
     PAIRS_PER_TASK,
+    _named,
+    _query_keys,
+    _roster_keys,
+    _verified,
     link_by_name,
     link_count,
     nearest_names,
@@ -186,3 +191,14 @@ def test_empty_sides(spark):
 def test_search_name(spark):
     df = spark.createDataFrame([("  ÉVA\t",)], "n string")
     assert df.select(search_name(F.col("n"))).first()[0] == "éva"
+
+
+def test_join_is_on_shared_parts(spark):
+    asked, people = frames(spark, ["abcdefgh", "ijklmnop"], ["abcdefgx"])
+    names = people.withColumns(_named("n", F.col("nombre")))
+    asked = asked.withColumns(_named("q", F.col("consulta")))
+    pairs = _verified(_query_keys(asked, None, 0), _roster_keys(names, None, [8], 0), KEY)
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "[_code" in text and "HashJoin" in text or "SortMergeJoin" in text
+    for operator in ("EvalPython", "CartesianProduct", "NestedLoop"):
+        assert operator not in text
