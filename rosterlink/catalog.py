@@ -21,7 +21,7 @@ from .operators.filters import (
 )
 from .operators.lookup import PERSON, lookup, status, summary
 from .operators.nearest import link_by_name, link_count
-from .plans import extract, ordered, reconcile, view
+from .plans import ordered, reconcile_attempts, view
 from .plans.view import with_official
 from .sinks.export import HEADER, export_lines
 from .sinks.payload import payloads
@@ -287,9 +287,9 @@ def q_payload_parts(spark, folder):
 
 @query
 def q_reconcile_full(spark, folder):
-    rows = extract(build(spark, folder, "fx_extractions"))
+    attempts = build(spark, folder, "fx_extractions")
     log = build(spark, folder, "fx_corrections").select(
         F.struct(F.col("seq").alias("batch"), F.lit(1).alias("pos")).alias("seq"), "turno", "dni"
     )
-    done = reconcile(rows, build(spark, folder, "fx_roster"), log, "turno")
+    done = reconcile_attempts(attempts, build(spark, folder, "fx_roster"), log, "turno")
     return done.select("batch", "pos", *ROW[1:], *OFFICIAL)

@@ -47,7 +47,7 @@ from .sizing import broadcast_limit
 COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
 # Bits per character: counts above this are taken as equal.
 COUNT_BITS = 3
-ONES = [2**n - 1 for n in range(COUNT_BITS + 1)]
+ONES = ", ".join(f"{2**n - 1}L" for n in range(COUNT_BITS + 1))
 PER_LONG = 63 // COUNT_BITS
 
 # A part with more candidate pairs than this is frequent.
@@ -71,32 +71,22 @@ def _spread(df: DataFrame, column: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
 
 
-def _signatures(text: Column) -> dict[str, Column]:
+def _signatures(prefix: str, text: str) -> dict[str, Column]:
     """Two longs with as many ones per character as the text holds, up to three.
 
     An edit changes at most one count up and one down, so two texts within ``t``
     edits have at most ``t`` ones that the other lacks, on either side.
     """
-    length = F.length(text)
-    ones_of = F.array(*(F.lit(n).cast("long") for n in ONES))
-
-    def count(c: str) -> Column:
-        return length - F.length(F.translate(text, c, ""))
-
-    counts = [count(c) for c in COUNTED] + [F.length(F.translate(text, COUNTED, ""))]
-    out = {}
-    for name, part in (("_low", counts[:PER_LONG]), ("_high", counts[PER_LONG:])):
-        bits = F.lit(0).cast("long")
-        for i, n in enumerate(part):
-            # 0, 1, 3 or 7
-            ones = F.element_at(ones_of, F.least(n, F.lit(COUNT_BITS)) + 1)
-            bits = bits.bitwiseOR(F.shiftleft(ones, i * COUNT_BITS))
-        out[name] = bits
-    return out
-
-
-def _named(prefix: str, text: Column) -> dict[str, Column]:
-    return {f"{prefix}{name}": bits for name, bits in _signatures(text).items()}
+    counts = [f"length({text}) - length(translate({text}, '{c}', ''))" for c in COUNTED]
+    counts.append(f"length(translate({text}, '{COUNTED}', ''))")
+    bits = [
+        f"shiftleft(element_at(array({ONES}), least({n}, {COUNT_BITS}) + 1), {i % PER_LONG * COUNT_BITS})"
+        for i, n in enumerate(counts)
+    ]
+    return {
+        f"{prefix}_low": F.expr(" | ".join(bits[:PER_LONG])),
+        f"{prefix}_high": F.expr(" | ".join(bits[PER_LONG:])),
+    }
 
 
 def _near_signatures(a: str, b: str) -> Column:
@@ -383,13 +373,13 @@ def nearest_names(
     characters; ``names`` holds distinct ``nombre`` with an orderable ``primero``
     that decides ties.
     """
-    names = stored(_spread(names, "nombre").withColumns(_named("n", F.col("nombre"))))
+    names = stored(_spread(names, "nombre").withColumns(_signatures("n", "nombre")))
     n_names = names.count()
     equal = names.select(F.col("nombre").alias("consulta"), F.col("primero"))
     found = F.when(F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero"))
     state = stored(
         lookup_join(_spread(queries, "consulta"), equal, ["consulta"], spread=False)
-        .withColumns({**_named("q", F.col("consulta")), "hallado": found})
+        .withColumns({**_signatures("q", "consulta"), "hallado": found})
         .drop("primero")
     )
     done = [state.filter("hallado is not null")]
@@ -403,6 +393,8 @@ def nearest_names(
             break
         # Few keys go to every task; the roster stays where it is.
         few = span.n * n_names <= few_pairs and span.key_bytes <= broadcast_limit(names)
+        if span.n * n_names <= few_pairs // 50:
+            cap = None
         if few:
             asked = F.broadcast(_query_keys(open_, cap, 0))
             pairs = _verified(asked, _roster_keys(names, cap, span.lengths, 0), KEY)

@@ -32,6 +32,7 @@ def view(
     text: str = "",
     facets: dict[str, list[str]] | None = None,
     marks: bool = False,
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """Rows that pass all filters, with roster person and status; not sorted.
 
@@ -40,7 +41,7 @@ def view(
     facets = dict(facets or {})
     states = facets.pop("estado", [])
     kept = facet_filter(text_filter(rows, text), facets)
-    shown = with_official(lookup(kept, roster, "left"))
+    shown = with_official(lookup(kept, roster, "left", broadcast=broadcast))
     if only_unmatched:
         shown = shown.filter(~is_matched())
     shown = facet_filter(shown, {"estado": states})

@@ -10,9 +10,9 @@ from rosterlink.operators.nearest import (
     FEW_PAIRS,
     KEY,
     PAIRS_PER_TASK,
-    _named,
     _query_keys,
     _roster_keys,
+    _signatures,
     _verified,
     link_by_name,
     link_count,
@@ -195,8 +195,8 @@ def test_search_name(spark):
 
 def test_join_is_on_shared_parts(spark):
     asked, people = frames(spark, ["abcdefgh", "ijklmnop"], ["abcdefgx"])
-    names = people.withColumns(_named("n", F.col("nombre")))
-    asked = asked.withColumns(_named("q", F.col("consulta")))
+    names = people.withColumns(_signatures("n", "nombre"))
+    asked = asked.withColumns(_signatures("q", "consulta"))
     pairs = _verified(_query_keys(asked, None, 0), _roster_keys(names, None, [8], 0), KEY)
     text = pairs._jdf.queryExecution().executedPlan().toString()
     assert "[_code" in text and "HashJoin" in text or "SortMergeJoin" in text
