@@ -282,7 +282,7 @@ def q_payload_parts(spark, folder):
     """How each reference is split in payloads."""
     sent = payloads(lookup(*_rows(spark, folder), "inner"), F.col("ocupacion"))
     people = F.size(F.from_json("payload", "participantes array<struct<Id: string>>")["participantes"])
-    return sent.select("IdRef", "parte", people.alias("participantes"))
+    return sent.select("IdRef", "parte", people.cast("long").alias("participantes"))
 
 
 @query

@@ -68,7 +68,7 @@ DOCS = """
 SELECT page_id AS doc_seq,
        concat('Sheet A', CAST(page_id AS VARCHAR(20)),
               CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 3 THEN '.html' ELSE '.jpeg' END) AS name,
-       length(html) AS size,
+       CAST(length(html) AS BIGINT) AS size,
        CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 3 THEN 'text/html' ELSE 'image/jpeg' END AS mime,
        html AS content
 FROM {pages}
