@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _ensure_folder(spark: SparkSession) -> None:
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="rosterlink-")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and go on from its copy in the shared checkpoint folder."""
-    _ensure_folder(df.sparkSession)
-    return df.checkpoint()
+    """Run ``df`` once and go on from a table in the shared checkpoint folder.
+
+    Unlike an RDD checkpoint, the table tells the planner its true size.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/rosterlink-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -54,10 +54,13 @@ def stem_sources(stems: DataFrame, documents: DataFrame, scope: list[str]) -> Da
         .withColumn("stem", F.substring("_name", F.col("_at"), F.col("_n")))
     )
     keys = [*scope, "stem"]
-    if fits_broadcast(stems):
+    small = fits_broadcast(stems)
+    if small:
         stretches = stretches.join(F.broadcast(stems), keys, "left_semi")
     firsts = stretches.groupBy(*keys).agg(F.min("_doc").alias("documento"))
-    return stems.join(firsts, keys)
+    # Without the filter above there may be far more stretches than the planner
+    # expects of the documents.
+    return stems.join(firsts if small else firsts.hint("merge"), keys)
 
 
 def source_document(

@@ -44,7 +44,8 @@ def _spread_join(
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), tasks - 1)))
         .drop("_hot", "_tasks")
     )
-    return left.join(right, [*keys, "_slot"], how).drop("_slot")
+    # The measured size has ruled out a broadcast, whatever the planner estimates.
+    return left.join(right.hint("merge"), [*keys, "_slot"], how).drop("_slot")
 
 
 def lookup_join(
@@ -71,5 +72,5 @@ def lookup_join(
     if broadcast:
         return rows.join(F.broadcast(unique), keys, how)
     if not spread:
-        return rows.join(unique, keys, how)
+        return rows.join(unique.hint("merge"), keys, how)
     return _spread_join(rows, unique, keys, how, seq, rows_per_task)

@@ -259,14 +259,21 @@ def _without_heaviest(queries: DataFrame, frequent: DataFrame, spare: int) -> Da
     dropped = heavy.withColumn("_nth", F.row_number().over(heaviest)).filter(
         F.col("_nth") <= spare
     )
-    return queries.join(dropped, ["consulta", "_k"], "left_anti")
+    return queries.join(dropped.hint("merge"), ["consulta", "_k"], "left_anti")
 
 
-def _verified(queries: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+def _verified(
+    queries: DataFrame, names: DataFrame, keys: list[str], *, broadcast: bool = False
+) -> DataFrame:
     distance = F.expr("levenshtein(consulta, nombre, _t)")
+    # The planner takes exploded keys to be as small as the names they are from,
+    # so it must not choose to broadcast them on its own.
+    told = names.select("nombre", "primero", "n_low", "n_high", *keys).hint("merge")
+    asked = queries.select("consulta", "_t", "q_low", "q_high", *keys)
+    if broadcast:
+        asked, told = F.broadcast(asked), names.select(*told.columns)
     return (
-        queries.select("consulta", "_t", "q_low", "q_high", *keys)
-        .join(names.select("nombre", "primero", "n_low", "n_high", *keys), keys)
+        asked.join(told, keys)
         .filter(_near_signatures("q", "n"))
         .filter(distance >= 0)
         .select("consulta", F.struct(distance.alias("d"), "primero").alias("hallado"))
@@ -396,8 +403,8 @@ def nearest_names(
         if span.n * n_names <= few_pairs // 50:
             cap = None
         if few:
-            asked = F.broadcast(_query_keys(open_, cap, 0))
-            pairs = _verified(asked, _roster_keys(names, cap, span.lengths, 0), KEY)
+            asked, told = _query_keys(open_, cap, 0), _roster_keys(names, cap, span.lengths, 0)
+            pairs = _verified(asked, told, KEY, broadcast=True)
         else:
             first, *others = _candidates(open_, names, span, n_names, cap, pairs_per_task)
             pairs = reduce(DataFrame.union, others, first)
