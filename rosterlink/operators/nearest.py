@@ -348,14 +348,11 @@ def _candidates(
             F.col("_len") >= LEAST_PART * _parts(spare + 1)
         )
         crowded = stored(
-            _spread(
-                asked.join(small, "_hash", "left_semi")
-                .select(*queries.columns, finer.alias("_finer"))
-                .distinct(),
-                "consulta",
-            )
+            asked.join(small, "_hash", "left_semi")
+            .select(*queries.columns, finer.alias("_finer"))
+            .distinct()
         )
-        queries = crowded.filter("_finer").drop("_finer")
+        queries = _spread(crowded.filter("_finer").drop("_finer"), "consulta")
         asked = asked.join(queries.select("consulta"), "consulta", "left_anti")
         found.append(_verified(asked.join(small, "_hash", "left_anti"), told, KEY))
         if not crowded.filter("not _finer").isEmpty():
@@ -380,12 +377,13 @@ def nearest_names(
     characters; ``names`` holds distinct ``nombre`` with an orderable ``primero``
     that decides ties.
     """
-    names = stored(_spread(names, "nombre").withColumns(_signatures("n", "nombre")))
+    names = stored(names.withColumns(_signatures("n", "nombre")))
     n_names = names.count()
     equal = names.select(F.col("nombre").alias("consulta"), F.col("primero"))
     found = F.when(F.col("primero").isNotNull(), F.struct(F.lit(0).alias("d"), "primero"))
+    names = _spread(names, "nombre")
     state = stored(
-        lookup_join(_spread(queries, "consulta"), equal, ["consulta"], spread=False)
+        lookup_join(queries, equal, ["consulta"], spread=False)
         .withColumns({**_signatures("q", "consulta"), "hallado": found})
         .drop("primero")
     )
