@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
+
+    It is the checkpoint folder if the session names one, else a folder below the
+    warehouse, which a cluster shares as well. On a cluster a ``file:`` path would be
+    another disk on each machine, so it is refused.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="rosterlink-")
-        context.setCheckpointDir(folder)
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    if folder.startswith("file:") and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and go on from a table in the shared checkpoint folder.
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Run ``df`` once and go on from a table in the shared folder.
 
-    Unlike an RDD checkpoint, the table tells the planner its true size.
+    Unlike an RDD checkpoint, the table tells the planner its true size. ``options``
+    go to the Parquet writer.
     """
-    path = f"{_shared_folder(df.sparkSession)}/rosterlink-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/rosterlink-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
