@@ -1,0 +1,123 @@
+"""Token files and packing against the library, document by document."""
+
+import functools
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from rosterlink.llm import ids, packing
+from rosterlink.llm.tokenizer import TextEncoder
+
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, n_tokens string, part int, ids string"
+
+TEXTS = [
+    (4, "It's a TEST,  with\n\n blanks \t and don't 1234 ½ ²"),
+    (1, None),
+    (2, ""),
+    (2, "zwei"),
+    (None, "no id"),
+    (9, "Ünïcödé — “quoted” … 漢字 Ω ΣΑΣ İstanbul é \x1c\x1f\x85\xa0x  y"),
+    (7, "word " * 5000),
+    (3, "<|endoftext|> 'S 'll"),
+]
+
+
+@functools.cache
+def library(path):
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = True
+    return made
+
+
+@pytest.fixture
+def docs(spark):
+    rows = [(i, t, "x", 5, "y") for i, t in TEXTS]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3, "text")
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=100, deadline=None)
+@given(text=st.text(st.one_of(st.sampled_from(" '\n\t.sTreé½İßſ\x1c\x85\xa0“”"), st.characters(exclude_categories=["Cs"]))))
+def test_encoder_equals_library(path, text):
+    made = _encoders.setdefault(path, (TextEncoder(path), library(path)))
+    expected = np.array(made[1].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert made[0].ids(text) == expected
+
+
+_encoders = {}
+
+
+def test_every_plain_character():
+    from rosterlink.llm.pretokens import PLAIN
+
+    for path in (BYTES, WORDS):
+        made, lib = TextEncoder(path), library(path)
+        for c in PLAIN:
+            x = chr(c)
+            text = f"a{x}b {x}1{x} '{x}.{x}"
+            expected = lib.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(made.ids(text), "<u4").tolist() == expected, (path, hex(c))
+
+
+def expected_ids(path, text, end):
+    return library(path).encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def test_files(spark, docs, tmp_path):
+    path = str(tmp_path / "ids")
+    made = ids.id_files(docs, BYTES, 0, path).collect()
+    order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    start = 0
+    by_start = sorted(made, key=lambda r: r.global_start)
+    assert [r.doc_id for r in by_start] == [i for i, _ in order]
+    for row, (_, text) in zip(by_start, order, strict=True):
+        expected = expected_ids(BYTES, text, 0)
+        assert (row.global_start, row.n_tokens, row.ids) == (start, len(expected), expected)
+        start += len(expected)
+    sums = {(r.global_start, r.ids_crc32) for r in ids.digests(ids.id_files(docs, BYTES, 0)).collect()}
+    assert sums == {(r.global_start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in made}
+
+
+def test_file_format(spark, docs, tmp_path):
+    path = tmp_path / "ids"
+    ids.write_ids(docs, BYTES, 0, str(path))
+    group = pq.ParquetFile(next(p for p in path.glob("*.parquet"))).metadata.row_group(0)
+    columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    listed = next(c for name, c in columns.items() if name.startswith("ids"))
+    assert any("DICTIONARY" in e for e in listed.encodings)
+    assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+    assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    plan = ids.read_ids(spark, str(path)).filter("doc_id = 4").select("n_tokens")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in text.split("ReadSchema")[1] and "EqualTo(doc_id,4)" in text
+
+
+@pytest.mark.parametrize("width", [7, 4096])
+def test_packing(docs, width):
+    made = packing.pack(docs, WORDS, 2, width).collect()
+    whole, seen = {}, []
+    for r in sorted(made, key=lambda r: (r.sequence_id, r.offset)):
+        seen.append((r.sequence_id * width + r.offset, r.length))
+        assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
+        assert r.offset + r.length <= width
+        key = (r.doc_id, r.sequence_id * width + r.offset - r.start)
+        whole[key] = whole.get(key, b"") + r.ids
+        assert r.start == len(whole[key]) // 4 - r.length
+    assert all(a + n == b for (a, n), (b, _) in zip(seen, seen[1:], strict=False)) and seen[0][0] == 0
+    got = sorted((i is None, i or 0, np.frombuffer(x, "<u4").tolist()) for (i, _), x in whole.items())
+    assert got == sorted((i is None, i or 0, expected_ids(WORDS, t, 2)) for i, t in TEXTS)
+
+
+def test_no_rows(docs):
+    none = docs.filter(F.lit(False))
+    assert packing.pack(none, WORDS, 2).count() == 0
+    assert ids.digests(ids.id_files(none, BYTES, 0)).count() == 0
