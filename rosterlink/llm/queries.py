@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ids, packing
+from . import counts, ids, packing, prefixes, rules, sql, urls
+
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+# The policy that the registered query and the pipeline apply.
+POLICY = rules.V1
+
+# The split of the byte-level vocabularies, as their publisher gives it (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Where the public vocabulary files lie on every machine.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -22,6 +36,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"), urls.rules_table(spark, URL_RULES))
+
+
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    entries = rules.ledger(table(spark, folder, "documents"))
+    return entries.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        rules.fails(rules.BASE).alias("base_failed"),
+        (~rules.fails(POLICY)).alias("kept"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.token_counts(
+        table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")
+    )
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     rows = ids.id_files(documents, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -30,6 +68,18 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    made = prefixes.round_trip(
+        table(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN
+    )
+    return made.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     pieces = packing.pack(documents, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -39,9 +89,13 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
+    "op7_prefix_bpe": op7_prefix_bpe,
     "op10_packing": op10_packing,
 }
 
 # SQL of those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)

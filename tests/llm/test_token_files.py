@@ -87,8 +87,10 @@ def test_files(spark, docs, tmp_path):
     assert sums == {(r.global_start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in made}
 
 
-def test_file_format(spark, docs, tmp_path):
+def test_file_format(spark, tmp_path):
     path = tmp_path / "ids"
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("word"), i % 7)))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), words.alias("text"))
     ids.write_ids(docs, BYTES, 0, str(path))
     group = pq.ParquetFile(next(p for p in path.glob("*.parquet"))).metadata.row_group(0)
     columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
