@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, ids, packing, prefixes, rules, sql, urls
+from . import counts, ids, lattice, packing, prefixes, rules, sketches, sql, urls
 
 URL_RULES = [
     ("allow", "com/"),
@@ -54,6 +54,14 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_lattice_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op4_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(
         table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")
@@ -91,6 +99,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lattice_hashing": op3_lattice_hashing,
+    "op4_bottom_k": op4_bottom_k,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_prefix_bpe": op7_prefix_bpe,
