@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, ids, lattice, packing, prefixes, rules, sketches, sql, urls
+import corpus_pipeline
+
+from . import convnet, counts, ids, lattice, packing, prefixes, rules, sketches, sql, toxicity, urls
+from .settings import PACKING_END, POLICY, TOXIC, table, vocabulary
 
 URL_RULES = [
     ("allow", "com/"),
@@ -18,32 +20,18 @@ URL_RULES = [
     ("block", "net/fr/"),
 ]
 
-# The policy that the registered query and the pipeline apply.
-POLICY = rules.V1
-
 # The split of the byte-level vocabularies, as their publisher gives it (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# Where the public vocabulary files lie on every machine.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
-
-def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
 
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages"), urls.rules_table(spark, URL_RULES))
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    entries = rules.ledger(table(spark, folder, "documents"))
+    entries = rules.ledger(table(spark, folder, "documents").select("doc_id", "text"))
     return entries.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -88,9 +76,21 @@ def op7_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    return convnet.quality_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), limit=0.3
+    )
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), limit=TOXIC
+    )
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    pieces = packing.pack(documents, vocabulary("word_bpe_49k.json"), end_id=2)
+    pieces = packing.pack(documents, vocabulary("word_bpe_49k.json"), end_id=PACKING_END)
     return pieces.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
@@ -104,7 +104,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_prefix_bpe": op7_prefix_bpe,
+    "op8_byte_network": op8_byte_network,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 # SQL of those that SQL can express.

@@ -34,8 +34,6 @@ MEASURES = (
     "n_number_words",
 )
 
-_MEASURED = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-
 
 def n_repeat_words(words: list[str]) -> int:
     """Words that lie in a window of three words found twice or more in the text."""
@@ -71,21 +69,20 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row per document with ``MEASURES``; nothing is shuffled."""
+def measured(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as it is, in ``row``, with ``MEASURES``; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(first, ROWS_AT_ONCE)
-                rows = [measure(x.as_py()) for x in batch.column(1)]
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *columns], ["doc_id", *MEASURES]
-                )
+                own = whole.slice(first, ROWS_AT_ONCE).column(0)
+                made = [measure(x.as_py()) for x in own.field("text")]
+                columns = [pa.array(c, pa.int64()) for c in zip(*made, strict=True)]
+                yield pa.RecordBatch.from_arrays([own, *columns], ["row", *MEASURES])
 
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text"))
-    return narrow.mapInArrow(run, _MEASURED)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    types = f"row {rows.schema['row'].dataType.simpleString()}, "
+    return rows.mapInArrow(run, types + ", ".join(f"{m} long" for m in MEASURES))
 
 
 # Name of each rule and the condition under which a document fails it. A rule's bit
@@ -121,17 +118,18 @@ V2 = Policy("v2", (*V1.rejecting, "short_words", "long_words", "numbers"))
 POLICIES = {p.version: p for p in (BASE, V1, V2)}
 
 
-def ledger(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``doc_id``, the measurements and ``failed``: bit i is set if rule i failed.
+def ledger(docs: DataFrame) -> DataFrame:
+    """``row``, the measurements and ``failed``: bit i is set if rule i failed.
 
-    A null or empty text has no words. Repeated rows and null ids are measured like
-    any other; extra columns are ignored; no rows give an empty ledger.
+    ``row`` holds all columns of ``docs``, whatever their names, so that what a policy keeps
+    needs no join. A null or empty text has no words. Repeated rows and null ids are
+    measured like any other; no rows give an empty ledger.
     """
     bits = F.lit(0).cast("long")
     for place, condition in enumerate(RULES.values()):
         bit = F.when(F.expr(condition), F.lit(1 << place)).otherwise(F.lit(0))
         bits = bits.bitwiseOR(bit.cast("long"))
-    return measured(docs, id_column).withColumn("failed", bits)
+    return measured(docs).withColumn("failed", bits)
 
 
 def fails(policy: Policy, failed: str = "failed") -> Column:
