@@ -62,4 +62,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-SQL = {"op1_url_filter": URL_FILTER, "op2_quality_rules": QUALITY_RULES}
+LATTICE_HASHING = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS id, vec_id AS root FROM embeddings
+  UNION SELECT b, root FROM reach JOIN links ON id = a
+), roots AS (
+  SELECT id, min(root) AS component_id FROM reach GROUP BY id
+), degrees AS (
+  SELECT a AS id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON vec_id = roots.id LEFT JOIN degrees ON vec_id = degrees.id
+"""
+
+BOTTOM_K = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM documents
+  UNION SELECT b, root FROM reach JOIN both_ways ON id = a
+), roots AS (
+  SELECT id, min(root) AS component_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
+       d.doc_id = component_id AS kept
+FROM documents d JOIN roots ON d.doc_id = roots.id LEFT JOIN sizes ON d.doc_id = sizes.doc_id
+"""
+
+SQL = {
+    "op1_url_filter": URL_FILTER,
+    "op2_quality_rules": QUALITY_RULES,
+    "op3_lattice_hashing": LATTICE_HASHING,
+    "op4_bottom_k": BOTTOM_K,
+}
