@@ -61,11 +61,16 @@ def fresh(seed: int = SEED) -> Network:
     )
 
 
-def _positions(net: Network, data: np.ndarray, n: int) -> np.ndarray:
-    """Values of all filters at the first ``n`` positions of padded ``data``."""
+def _positions(net: Network, data: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Values of all filters at each position but the last ``WIDTH`` of padded ``data``.
+
+    A position from which a filter would reach into the next text has none.
+    """
+    n = len(data) - WIDTH
     found = net.table[0][data[:n]]
     for place in range(1, WIDTH):
         found += net.table[place][data[place : place + n]]
+    found[between[:n]] = -np.inf
     return found
 
 
@@ -87,14 +92,24 @@ def _layout(lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, reach + np.repeat(first_cell, chunks)[:, None], first_chunk
 
 
-def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts end to end, each followed by as many zero bytes as a filter reaches over."""
+def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, each followed by as many zero bytes as a filter reaches over.
+
+    Also the length of each with these, and the positions from which a filter would
+    reach from one text into the next.
+    """
     gap = bytes(WIDTH)
     data = np.frombuffer(b"".join(t + gap for t in texts) + gap, dtype=np.uint8)
-    return data, np.array([len(t) + WIDTH for t in texts])
+    lengths = np.array([len(t) + WIDTH for t in texts])
+    between = np.zeros(len(data), dtype=bool)
+    for back in range(1, WIDTH):
+        between[np.cumsum(lengths) - back] = True
+    return data, lengths, between
 
 
-def _cell_maxima(net: Network, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _cell_maxima(
+    net: Network, data: np.ndarray, between: np.ndarray, starts: np.ndarray
+) -> np.ndarray:
     """Largest value of each filter in each cell, a stretch of cells at a time."""
     end = len(data) - WIDTH
     made = []
@@ -102,7 +117,8 @@ def _cell_maxima(net: Network, data: np.ndarray, starts: np.ndarray) -> np.ndarr
     for at in range(0, len(starts), per_stretch):
         own = starts[at : at + per_stretch]
         stop = int(starts[at + per_stretch]) if at + per_stretch < len(starts) else end
-        values = _positions(net, data[own[0] :], stop - int(own[0]))
+        stretch = slice(int(own[0]), stop + WIDTH)
+        values = _positions(net, data[stretch], between[stretch])
         made.append(np.maximum.reduceat(values, own - own[0], axis=0))
     return np.concatenate(made)
 
@@ -126,18 +142,18 @@ def _probability(z: np.ndarray) -> np.ndarray:
 
 def score(net: Network, texts: list[bytes]) -> np.ndarray:
     """Probability of each whole text."""
-    data, lengths = _padded(texts)
+    data, lengths, between = _padded(texts)
     starts, reach, first = _layout(lengths)
-    cells = _cell_maxima(net, data, starts)
+    cells = _cell_maxima(net, data, between, starts)
     chunks = np.maximum(cells[reach].max(axis=1) + net.bias, 0)
     z = _pooled(chunks, first) @ net.layer + net.offset
     return _probability(z.astype(np.float64))
 
 
 def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
-    data, lengths = _padded(texts)
+    data, lengths, between = _padded(texts)
     starts, reach, first = _layout(lengths)
-    values = _positions(net, data, len(data) - WIDTH)
+    values = _positions(net, data, between)
     cells = np.maximum.reduceat(values, starts, axis=0)
     best_cell = cells[reach].argmax(axis=1)
     chunk_rows = np.arange(len(reach))[:, None]
