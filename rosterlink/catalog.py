@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import shared_folder, stored
 from .fixtures import build
 from .functions.text import single_line_base64
 from .operators.documents import append_documents, remove_documents, source_document
@@ -16,24 +18,26 @@ from .operators.filters import (
     facet_values,
     only_unmatched,
     roster_search,
+    sort_order,
     text_filter,
     with_highlights,
 )
 from .operators.lookup import PERSON, lookup, status, summary
 from .operators.nearest import link_by_name, link_count
-from .plans import ordered, reconcile_attempts, view
+from .operators.ranking import numbered
+from .plans import ordered, reconcile_attempts, submit, view
 from .plans.view import with_official
-from .sinks.export import HEADER, export_lines
-from .sinks.payload import payloads
-from .sinks.register import register_rows
-from .sources.documents import accepted_documents, request_manifest
+from .sinks.export import HEADER, export_lines, write_export
+from .sinks.payload import payloads, refused
+from .sinks.register import read_register, register_rows, rejected_payloads, replies
+from .sources.documents import accepted_documents, request_manifest, request_parts
 from .sources.responses import (
     clean_responses,
     failed_batches,
     resolve_attempts,
     response_rows,
 )
-from .sources.roster import parse_roster
+from .sources.roster import parse_roster, read_roster
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +47,13 @@ ROW = ["seq", "nro", "nombre", "dni", "ocupacion", "area", "sourceFile", "method
 OFFICIAL = ["estado", "dni_oficial", "nombre_oficial"]
 
 # Arguments of the registered queries; oracle.py states the same values in SQL.
-SEARCH_TEXT = "R#00000001"
+SEARCH_TEXT = "11"
+CASED_TEXT = "R#00000001"
+INSTRUCTION = "Extrae una sola tabla."
 FACETS = {"ocupacion": ["1-URGENT", "2-HIGH"], "area": ["O", "F"]}
 ROSTER_TEXT = " 0011 "
+PER_PAYLOAD = 1000
+ID_SHAPE = "^x[0-9A-Z]{1,6}$"
 
 
 def query(function: Query) -> Query:
@@ -95,6 +103,33 @@ def q_request_manifest(spark, folder):
     return request_manifest(docs.select("doc_seq", F.col("mime").alias("batch"), "name"), ["batch"])
 
 
+@query
+def q_manifest_gaps(spark, folder):
+    docs = build(spark, folder, "fx_gaps_docs")
+    return request_manifest(docs.select("doc_seq", "batch", "name"), ["batch"])
+
+
+@query
+def q_request_parts(spark, folder):
+    docs = build(spark, folder, "fx_gaps_docs").withColumn("content", F.encode("content", "UTF-8"))
+    return request_parts(docs, ["batch"], INSTRUCTION)
+
+
+@query
+def q_roster_files(spark, folder):
+    """Roster lines written as four files, each with a blank line and a header of its own."""
+    body = build(spark, folder, "fx_lines").filter("seq >= 0").withColumn("parte", F.col("seq") % 4)
+    top = spark.range(8).select(
+        (F.col("id") - 8).alias("seq"),
+        F.when(F.col("id") < 4, " ").otherwise("a,header").alias("line"),
+        (F.col("id") % 4).alias("parte"),
+    )
+    path = f"{shared_folder(spark)}/roster-{uuid.uuid4().hex}"
+    whole = top.unionByName(body).repartition("parte").sortWithinPartitions("parte", "seq")
+    whole.select("parte", "line").write.partitionBy("parte").text(path)
+    return read_roster(spark, path).drop("seq")
+
+
 @query
 def q_document_filter(spark, folder):
     return accepted_documents(build(spark, folder, "fx_docs"))
@@ -131,6 +166,13 @@ def q_lookup_semi(spark, folder):
     return lookup(*_rows(spark, folder), "left_semi")
 
 
+@query
+def q_lookup_gaps(spark, folder):
+    """Missing fields on both sides, and several roster rows for an id: the first counts."""
+    shown = view(build(spark, folder, "fx_gaps_rows"), build(spark, folder, "fx_gaps_roster"))
+    return _with_person(shown)
+
+
 @query
 def q_view_placeholder(spark, folder):
     return with_official(lookup(*_rows(spark, folder), "left")).select(*ROW, *OFFICIAL)
@@ -160,6 +202,11 @@ def q_text_filter(spark, folder):
     return text_filter(build(spark, folder, "fx_rows"), SEARCH_TEXT)
 
 
+@query
+def q_text_filter_case(spark, folder):
+    return text_filter(build(spark, folder, "fx_rows"), CASED_TEXT)
+
+
 @query
 def q_facet_filter(spark, folder):
     return facet_filter(build(spark, folder, "fx_rows"), FACETS)
@@ -177,6 +224,17 @@ def q_highlight(spark, folder):
     return marked.select("seq", "nombre_marcado", "dni_marcado")
 
 
+@query
+def q_highlight_case(spark, folder):
+    marked = with_highlights(build(spark, folder, "fx_rows"), CASED_TEXT)
+    return marked.select("seq", "nombre_marcado", "dni_marcado")
+
+
+@query
+def q_facet_states(spark, folder):
+    return facet_values(build(spark, folder, "fx_rows"), "estado", positions=True)
+
+
 @query
 def q_facet_values(spark, folder):
     return facet_values(build(spark, folder, "fx_rows"), "nombre", positions=True)
@@ -232,6 +290,20 @@ def q_link_count(spark, folder):
     return link_count(linked)
 
 
+@query
+def q_nearest_shuffled(spark, folder):
+    """The plan for name lists that are too large to broadcast, with blocks of few pairs."""
+    rows, roster = build(spark, folder, "fx_typos"), build(spark, folder, "fx_roster")
+    return link_by_name(rows, roster, few_pairs=0, pairs_per_task=20_000)
+
+
+@query
+def q_nearest_tokens(spark, folder):
+    """Names of common words, whose frequent parts are cut finer or compared in blocks."""
+    rows, roster = build(spark, folder, "fx_token_rows"), build(spark, folder, "fx_token_roster")
+    return link_by_name(rows, roster, few_pairs=0, pairs_per_task=5_000)
+
+
 @query
 def q_source_document(spark, folder):
     found = source_document(build(spark, folder, "fx_rows"), build(spark, folder, "fx_docs"))
@@ -270,19 +342,89 @@ def q_export_lines(spark, folder):
     return head.unionByName(body)
 
 
+@query
+def q_export_gaps(spark, folder):
+    shown = view(build(spark, folder, "fx_gaps_rows"), build(spark, folder, "fx_gaps_roster"))
+    return export_lines(shown).select("seq", "line")
+
+
+@query
+def q_export_view(spark, folder):
+    """Lines of a filtered and sorted view, with their places in the file."""
+    shown = view(*_rows(spark, folder), text=SEARCH_TEXT, facets=FACETS)
+    lines = export_lines(shown).select("seq", "nombre", "line")
+    return numbered(lines, sort_order("nombre", "desc")).select("pos", "line")
+
+
+@query
+def q_export_files(spark, folder):
+    """A sorted view written as a file and read back."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    write_export(view(*_rows(spark, folder), facets=FACETS), path, "nombre", "desc")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _sent(spark, folder):
+    """Payloads as they leave: one reference per priority, stored as text."""
+    matched = lookup(*_rows(spark, folder), "inner")
+    return stored(payloads(matched, F.col("ocupacion"), per_payload=PER_PAYLOAD))
+
+
 @query
 def q_payload_roundtrip(spark, folder):
-    """One reference per priority, each sent in parts and read back to register rows."""
-    sent = payloads(lookup(*_rows(spark, folder), "inner"), F.col("ocupacion"))
-    return register_rows(sent).drop("Id")
+    """Stored payloads read back to register rows."""
+    rows = register_rows(_sent(spark, folder))
+    return rows.withColumn("Id", F.col("Id").rlike(ID_SHAPE))
 
 
 @query
 def q_payload_parts(spark, folder):
-    """How each reference is split in payloads."""
-    sent = payloads(lookup(*_rows(spark, folder), "inner"), F.col("ocupacion"))
+    """How each reference is split in payloads, and their text but for the ids."""
+    sent = _sent(spark, folder)
     people = F.size(F.from_json("payload", "participantes array<struct<Id: string>>")["participantes"])
-    return sent.select("IdRef", "parte", people.cast("long").alias("participantes"))
+    text = F.regexp_replace("payload", '"Id":"x[0-9A-Z]{1,6}"', '"Id":"x"')
+    return sent.select(
+        "IdRef", "parte", people.cast("long").alias("participantes"), text.alias("payload")
+    )
+
+
+@query
+def q_submit_register(spark, folder):
+    """A filtered view submitted, and the register read back."""
+    path = f"{shared_folder(spark)}/register-{uuid.uuid4().hex}"
+    submit(view(*_rows(spark, folder), facets={"area": ["O", "F"]}), F.col("ocupacion"), path)
+    return read_register(spark, path).withColumn("Id", F.col("Id").rlike(ID_SHAPE))
+
+
+@query
+def q_submit_refused(spark, folder):
+    """Matched rows without a reference."""
+    rows = build(spark, folder, "fx_gaps_rows")
+    shown = view(rows, build(spark, folder, "fx_roster"))
+    return refused(shown, F.col("ocupacion")).select("seq", "dni")
+
+
+@query
+def q_register_rows(spark, folder):
+    return register_rows(build(spark, folder, "fx_payloads"))
+
+
+@query
+def q_register_rejects(spark, folder):
+    return rejected_payloads(build(spark, folder, "fx_payloads"))
+
+
+@query
+def q_register_replies(spark, folder):
+    return replies(build(spark, folder, "fx_payloads")).select("doc_id", "reply")
+
+
+@query
+def q_reconcile_typos(spark, folder):
+    """From recorded answers with mistyped names: most rows are linked by name."""
+    attempts = build(spark, folder, "fx_typo_attempts")
+    done = reconcile_attempts(attempts, build(spark, folder, "fx_roster"))
+    return done.select("batch", "pos", *ROW[1:], *OFFICIAL)
 
 
 @query

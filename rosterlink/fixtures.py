@@ -96,6 +96,70 @@ SELECT seq, nro,
 FROM {fx_rows}
 """
 
+# A roster with missing fields, and with the same id several times: some earlier, some
+# later, with other zeros. The first by ``seq`` counts.
+GAPS_ROSTER = """
+SELECT seq, dni, nombre, CASE WHEN seq % 3 <> 0 THEN cargo END AS cargo,
+       CASE WHEN seq % 4 <> 0 THEN area END AS area FROM {fx_roster}
+UNION ALL
+SELECT seq + 1000000000 AS seq, concat('00', dni) AS dni, concat(nombre, ' later') AS nombre, cargo, area
+FROM {fx_roster} WHERE seq % 2 = 0
+UNION ALL
+SELECT -seq AS seq, CAST(seq AS VARCHAR(20)) AS dni, concat(nombre, ' earlier') AS nombre, cargo, area
+FROM {fx_roster} WHERE seq % 5 = 0
+"""
+
+# Rows with any of their fields missing.
+GAPS_ROWS = """
+SELECT seq, CASE WHEN seq % 7 <> 0 THEN nro END AS nro, CASE WHEN seq % 5 <> 0 THEN nombre END AS nombre,
+       CASE WHEN seq % 11 <> 0 THEN dni END AS dni, CASE WHEN seq % 3 <> 0 THEN ocupacion END AS ocupacion,
+       CASE WHEN seq % 4 <> 0 THEN area END AS area, CASE WHEN seq % 6 <> 0 THEN sourceFile END AS sourceFile,
+       CASE WHEN seq % 9 <> 0 THEN method END AS method
+FROM {fx_rows}
+"""
+
+# Documents in batches, one of which has no name.
+GAPS_DOCS = """
+SELECT doc_seq, name, mime, content, CASE WHEN doc_seq % 3 <> 0 THEN mime END AS batch FROM {fx_docs}
+"""
+
+# Payloads as they come in: no JSON at all, nobody in it, no list, one person, cut off.
+PAYLOADS = """
+SELECT doc_id, CASE doc_id % 5
+  WHEN 0 THEN text
+  WHEN 1 THEN '<open>"IdRef":"test","participantes":[]<close>'
+  WHEN 2 THEN '<open>"IdRef":"test"<close>'
+  WHEN 3 THEN concat('<open>"IdRef":"R', CAST(doc_id AS VARCHAR(20)),
+    '","participantes":[<open>"Id":"x1","ParticipanteDNI":"', CAST(doc_id AS VARCHAR(20)),
+    '","Participante":"', source, '","Cargo":"C"<close>]<close>')
+  ELSE '<open>"IdRef":"test","participantes":[<open>"Id":"x1"' END AS payload
+FROM {documents}
+"""
+
+# Names made of a few common words, so that many share their parts; asked for with
+# one character lost.
+TOKEN_ROSTER = """
+SELECT p_partkey AS seq, lpad(CAST(p_partkey AS VARCHAR(20)), 8, '0') AS dni,
+       concat(p_type, ' ', p_name, ' ', p_brand) AS nombre, p_type AS cargo, p_brand AS area
+FROM {part}
+"""
+
+TOKEN_ROWS = """
+SELECT seq, CAST(seq AS VARCHAR(20)) AS nro,
+       concat(substring(nombre, 1, CAST(seq % 9 AS INT) + 1), substring(nombre, CAST(seq % 9 AS INT) + 3)) AS nombre,
+       'X' AS dni, cargo AS ocupacion, area, 'A1.jpeg' AS sourceFile, 'DEFAULT' AS method
+FROM {fx_token_roster}
+"""
+
+# Answers that hold the mistyped names.
+TYPO_ATTEMPTS = """
+SELECT seq AS batch, r AS model_rank, concat('model_', CAST(r AS VARCHAR(20))) AS model,
+       CASE WHEN r >= seq % 3 THEN concat('Nro;Apellidos y Nombres;DNI;Ocupacion;Area;SourceFile', chr(10),
+         nro, ';', nombre, ';', dni, ';', ocupacion, ';', area, ';', sourceFile) END AS response,
+       CASE WHEN r < seq % 3 THEN 'quota' END AS error
+FROM <ranks>
+"""
+
 VIEWS = {
     "fx_roster": ROSTER,
     "fx_rows": ROWS,
@@ -106,9 +170,20 @@ VIEWS = {
     "fx_docs": DOCS,
     "fx_corrections": CORRECTIONS,
     "fx_typos": TYPOS,
+    "fx_gaps_roster": GAPS_ROSTER,
+    "fx_gaps_rows": GAPS_ROWS,
+    "fx_gaps_docs": GAPS_DOCS,
+    "fx_payloads": PAYLOADS,
+    "fx_token_roster": TOKEN_ROSTER,
+    "fx_token_rows": TOKEN_ROWS,
+    "fx_typo_attempts": TYPO_ATTEMPTS,
 }
 
-_RANKED = {"fx_attempts": "documents", "fx_extractions": "fx_responses"}
+_RANKED = {
+    "fx_attempts": "documents",
+    "fx_extractions": "fx_responses",
+    "fx_typo_attempts": "fx_typos",
+}
 
 
 def build(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -120,7 +195,7 @@ def build(spark: SparkSession, folder: str, name: str) -> DataFrame:
         "<ranks>", f"(SELECT *, explode(sequence(0, 6)) AS r FROM {{{ranked}}}) AS k"
     )
     inputs = {n: build(spark, folder, n) for n in _inputs(text)}
-    return spark.sql(text, **inputs)
+    return spark.sql(_braces(text, "{{", "}}"), **inputs)
 
 
 def duckdb_text(name: str) -> str:
@@ -129,7 +204,12 @@ def duckdb_text(name: str) -> str:
     text = VIEWS[name].replace(
         "<ranks>", f"(SELECT *, unnest(range(0, 7)) AS r FROM {{{ranked}}}) AS k"
     )
-    return text.format(**{n: n for n in _inputs(text)})
+    return _braces(text.format(**{n: n for n in _inputs(text)}), "{", "}")
+
+
+def _braces(text: str, opening: str, closing: str) -> str:
+    """Braces that are part of a text, not the mark of an input."""
+    return text.replace("<open>", opening).replace("<close>", closing)
 
 
 def _inputs(text: str) -> list[str]:

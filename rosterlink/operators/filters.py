@@ -58,7 +58,8 @@ def facet_values(rows: DataFrame, column: str, *, positions: bool = False) -> Da
     if column == "estado":
         fixed = F.posexplode(F.array(*map(F.lit, STATES))).alias("pos", "valor")
         listed = rows.sparkSession.range(1).select(fixed)
-        return listed.select("valor", F.col("pos") + 1) if positions else listed.select("valor")
+        place = (F.col("pos") + 1).cast("long").alias("pos")
+        return listed.select("valor", place) if positions else listed.select("valor")
     values = rows.select(value).filter(F.col("valor") != "").distinct()
     if positions:
         return numbered(values, [F.col("valor").asc()])

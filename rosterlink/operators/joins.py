@@ -5,32 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import fits_broadcast
+from ..durable import stored
+from .sizing import fits_broadcast, measured
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 1_000_000
-# Only this many of the heaviest keys are spread: 16 bytes each when broadcast.
-# The others hold at most 1/MOST_HOT_KEYS of the rows and join as they are.
-MOST_HOT_KEYS = 10_000
 
 
 def hot_keys(
     rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Hash of each heavy key with the number of tasks it is spread over."""
+    """Hash of every heavy key with the number of tasks it is spread over.
+
+    There are at most as many as all rows make tasks of ``rows_per_task``.
+    """
     counts = rows.groupBy(F.xxhash64(*keys).alias("_hot")).agg(F.count("*").alias("_n"))
     heavy = counts.filter(F.col("_n") > rows_per_task)
-    return (
-        heavy.orderBy(F.desc("_n"))
-        .limit(MOST_HOT_KEYS)
-        .select("_hot", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_tasks"))
-    )
+    return heavy.select("_hot", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_tasks"))
 
 
 def _spread_join(
     rows: DataFrame, unique: DataFrame, keys: list[str], how: str, seq: str, rows_per_task: int
 ) -> DataFrame:
-    hot = F.broadcast(hot_keys(rows, keys, rows_per_task))
+    hot = measured(stored(hot_keys(rows, keys, rows_per_task)))
     tasks = F.coalesce(F.col("_tasks"), F.lit(1))
     left = (
         rows.withColumn("_hot", F.xxhash64(*keys))

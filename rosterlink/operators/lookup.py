@@ -22,7 +22,8 @@ def first_per_key(df: DataFrame, key: Column | str, seq: str, values: list[str])
 
 def roster_index(roster: DataFrame) -> DataFrame:
     """``llave`` and ``oficial``: the first roster row of each identity key."""
-    return first_per_key(roster, identity_key(F.col("dni")), "seq", PERSON).withColumnRenamed(
+    people = with_known_text(roster, PERSON)
+    return first_per_key(people, identity_key(F.col("dni")), "seq", PERSON).withColumnRenamed(
         "primero", "oficial"
     )
 
@@ -67,7 +68,7 @@ def status(ok: str = "OK", out: str = "FUERA") -> Column:
 
 def with_known_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace missing text by empty strings, as every comparison expects."""
-    return df.withColumns({c: known(F.col(c)) for c in columns})
+    return df.withColumns({c: known(F.col(c)) for c in columns if c in df.columns})
 
 
 def summary(rows: DataFrame, roster: DataFrame, *, broadcast: bool | None = None) -> DataFrame:

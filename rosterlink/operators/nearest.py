@@ -41,7 +41,7 @@ from ..durable import stored
 from ..functions.text import LEAST_EDITS, SHORTEST_NAME, accepted_edits, known, search_name
 from .joins import lookup_join
 from .lookup import lookup
-from .sizing import broadcast_limit
+from .sizing import broadcast_limit, fits_broadcast, measured
 
 # Characters counted one by one in a name's signature; all others count together.
 COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -59,9 +59,6 @@ KEY_OVERHEAD = 64
 # Parts that a name with frequent parts gets on top, and their least length.
 MOST_SPARE_PARTS = 3
 LEAST_PART = 4
-# Only so many frequent parts are treated apart: 24 bytes each when broadcast.
-# The rest, all with fewer pairs, join as they are.
-MOST_FREQUENT_PARTS = 100_000
 # Largest distance of each step; None is the limit of the name itself.
 STEPS = (1, LEAST_EDITS, None)
 
@@ -225,24 +222,23 @@ KEY = ["_code", "_text"]
 def _frequent(
     queries: DataFrame, names: DataFrame, n_names: int, pairs: int
 ) -> DataFrame | None:
-    """Hash, query count and name count of the keys with too many pairs, or None."""
+    """Hash, query count and name count of every key with too many pairs, or None."""
     key = F.xxhash64(*KEY).alias("_hash")
     # Names are counted only for keys that enough queries ask for.
     asked = stored(
         queries.groupBy(key)
         .agg(F.count("*").alias("_nq"))
         .filter(F.col("_nq") * n_names > pairs)
-        .orderBy(F.desc("_nq"))
-        .limit(MOST_FREQUENT_PARTS)
     )
     if asked.isEmpty():
         return None
+    told = names.select(key)
+    if fits_broadcast(asked):
+        told = told.join(F.broadcast(asked.select("_hash")), "_hash")
+    # Names are counted before the join, so that a heavy key does not cross it.
+    counted = told.groupBy("_hash").agg(F.count("*").alias("_nr"))
     frequent = stored(
-        names.select(key)
-        .join(F.broadcast(asked), "_hash")
-        .groupBy("_hash", "_nq")
-        .agg(F.count("*").alias("_nr"))
-        .filter(F.col("_nq") * F.col("_nr") > pairs)
+        counted.join(asked.hint("merge"), "_hash").filter(F.col("_nq") * F.col("_nr") > pairs)
     )
     return None if frequent.isEmpty() else frequent
 
@@ -250,7 +246,7 @@ def _frequent(
 def _without_heaviest(queries: DataFrame, frequent: DataFrame, spare: int) -> DataFrame:
     """Keys of all parts but the ``spare`` most frequent ones of each query."""
     heavy = (
-        queries.join(F.broadcast(frequent), "_hash")
+        queries.join(measured(frequent), "_hash")
         .groupBy("consulta", "_k")
         .agg(F.max("_nr").alias("_nr"))
     )
@@ -337,7 +333,7 @@ def _candidates(
             frequent = _frequent(asked, told, n_names, pairs)
         if frequent is None:
             return [*found, _verified(asked, told, KEY)]
-        small = F.broadcast(frequent)
+        small = measured(frequent)
         key = F.xxhash64(*KEY)
         asked, told = asked.withColumn("_hash", key), told.withColumn("_hash", key)
         if spare:
@@ -429,6 +425,7 @@ def link_by_name(
     *,
     steps: tuple[int | None, ...] = STEPS,
     pairs_per_task: int = PAIRS_PER_TASK,
+    few_pairs: int = FEW_PAIRS,
     broadcast: bool | None = None,
 ) -> DataFrame:
     """Give unmatched rows the dni of the roster person with the nearest name.
@@ -442,7 +439,11 @@ def link_by_name(
     asking = person.withColumn("consulta", F.when(asks, query)).drop("oficial")
     queries = asking.filter("consulta is not null").select("consulta").distinct()
     links = nearest_names(
-        queries, roster_names(roster), steps=steps, pairs_per_task=pairs_per_task
+        queries,
+        roster_names(roster),
+        steps=steps,
+        pairs_per_task=pairs_per_task,
+        few_pairs=few_pairs,
     ).select("consulta", F.col("primero.dni").alias("_dni"))
     linked = F.col("_dni").isNotNull()
     return (

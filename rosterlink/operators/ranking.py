@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,12 @@ def numbered(
     if not group:
         # One row per partition of the sort.
         offsets = F.broadcast(offsets)
+    # A null group is a group like any other.
+    keys = ["_sheet", *group]
+    offsets = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
     return (
-        sheets.join(offsets, ["_sheet", *group])
+        sheets.join(offsets, same)
         .withColumn(column, F.col("_line") + F.col("_shift"))
-        .drop("_sheet", "_line", "_shift")
+        .drop("_line", "_shift", "_sheet", *(f"_of_{k}" for k in keys))
     )

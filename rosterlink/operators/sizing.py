@@ -39,6 +39,11 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(number) * _UNITS[unit]
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """The small side of a join: broadcast if its measured size allows, else merged."""
+    return F.broadcast(df) if fits_broadcast(df) else df.hint("merge")
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     limit = broadcast_limit(df)
     return limit > 0 and measured_bytes(df) <= limit

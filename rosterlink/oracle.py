@@ -11,17 +11,25 @@ def _key(column: str) -> str:
     return rf"trim(ltrim({column}, '0'), chr(9) || chr(10) || chr(13) || ' ')"
 
 
-def _ranked_people(rows: str) -> str:
+def _index(roster: str) -> str:
+    return (
+        f"SELECT seq, coalesce(dni, '') AS dni, coalesce(nombre, '') AS nombre, coalesce(cargo, '') AS cargo, "
+        f"coalesce(area, '') AS area, llave FROM (SELECT *, {_key("coalesce(dni, '')")} AS llave, row_number() "
+        f"OVER (PARTITION BY {_key("coalesce(dni, '')")} ORDER BY seq) AS nth FROM {roster}) WHERE nth = 1"
+    )
+
+
+def _ranked_people(rows: str, index: str = "padron") -> str:
     """Rows with the first roster row of their identity key, if there is one."""
     return (
         f"SELECT r.*, m.dni AS m_dni, m.nombre AS m_nombre, m.cargo AS m_cargo, m.area AS m_area, "
         f"CASE WHEN m.llave IS NULL THEN 'FUERA' ELSE 'OK' END AS estado, "
         f"coalesce(m.dni, '---') AS dni_oficial, coalesce(m.nombre, '---') AS nombre_oficial "
-        f"FROM {rows} AS r LEFT JOIN padron AS m ON {_key('r.dni')} = m.llave"
+        f"FROM {rows} AS r LEFT JOIN {index} AS m ON {_key('r.dni')} = m.llave"
     )
 
 
-def _linked(rows: str, looked_up: str) -> str:
+def _linked(rows: str, looked_up: str, roster: str = "fx_roster") -> str:
     """Rows after the name link: brute force over all distinct names."""
     return f"""
 SELECT r.* EXCLUDE (dni, method, m_dni, m_nombre, m_cargo, m_area, estado, dni_oficial, nombre_oficial),
@@ -32,18 +40,33 @@ FROM {looked_up} AS r LEFT JOIN (
     SELECT q, s, row_number() OVER (PARTITION BY q ORDER BY d, s) AS nth FROM (
       SELECT q, s, levenshtein(q, n) AS d FROM
         (SELECT DISTINCT trim(lower(nombre)) AS q FROM {looked_up} WHERE estado = 'FUERA')
-        CROSS JOIN (SELECT lower(nombre) AS n, min(seq) AS s FROM fx_roster GROUP BY 1)
+        CROSS JOIN (SELECT lower(nombre) AS n, min(seq) AS s FROM {roster} GROUP BY 1)
       WHERE length(q) >= 4)
     WHERE d <= greatest(3, CAST(floor(length(q) * 0.25) AS INT)))
-  JOIN fx_roster AS p ON p.seq = s WHERE nth = 1
+  JOIN {roster} AS p ON p.seq = s WHERE nth = 1
 ) AS k ON r.estado = 'FUERA' AND k.q = trim(lower(r.nombre))"""
 
 
+TEXT = "nro nombre dni ocupacion area sourceFile method".split()
+
 # Common table expressions, each over the ones before it.
 COMMON = {
     **{name: duckdb_text(name) for name in VIEWS},
-    "padron": f"SELECT * FROM (SELECT *, {_key('dni')} AS llave, row_number() OVER "
-    f"(PARTITION BY {_key('dni')} ORDER BY seq) AS nth FROM fx_roster) WHERE nth = 1",
+    "padron": _index("fx_roster"),
+    "lugares": "SELECT *, row_number() OVER (PARTITION BY batch ORDER BY doc_seq) AS pos FROM fx_gaps_docs",
+    "padron_gaps": _index("fx_gaps_roster"),
+    "filas_gaps": "SELECT seq, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in TEXT)
+    + " FROM fx_gaps_rows",
+    "vista_gaps": _ranked_people("filas_gaps", "padron_gaps"),
+    "vista_refs": _ranked_people("filas_gaps"),
+    "padron_token": _index("fx_token_roster"),
+    "vista_token": _ranked_people("fx_token_rows", "padron_token"),
+    "token_vinculados": _linked("fx_token_rows", "vista_token", "fx_token_roster"),
+    "respuestas": "SELECT batch, 1 AS pos, nro, nombre, dni, ocupacion, area, sourceFile, 'DEFAULT' AS method "
+    "FROM (SELECT seq AS batch, * FROM fx_typos)",
+    "vista_respuestas": _ranked_people("respuestas"),
+    "respuestas_vinculadas": _linked("respuestas", "vista_respuestas"),
+    "vista_final": _ranked_people("respuestas_vinculadas"),
     "vista": _ranked_people("fx_rows"),
     "vista_typos": _ranked_people("fx_typos"),
     "typos_vinculados": _linked("fx_typos", "vista_typos"),
@@ -60,10 +83,20 @@ COMMON = {
 ROW = "seq, nro, nombre, dni, ocupacion, area, sourceFile, method"
 OFFICIAL = "estado, dni_oficial, nombre_oficial"
 PERSON = "m_dni AS dni_oficial, m_nombre AS nombre_oficial, m_cargo AS cargo_oficial, m_area AS area_oficial"
-HAS_TEXT = (
+HAS_TEXT = "(contains(nombre, '11') OR contains(dni, '11') OR contains(sourceFile, '11'))"
+HAS_CASED_TEXT = (
     "(contains(lower(nombre), 'r#00000001') OR contains(lower(dni), 'r#00000001') "
     "OR contains(lower(sourceFile), 'r#00000001'))"
 )
+LINE = (
+    "concat(upper(dni), ';', upper(m_nombre), ';', upper(m_cargo), ';', upper(m_area), ';', method, ';', "
+    "sourceFile) AS line"
+)
+PEOPLE = (
+    "ocupacion AS IdRef, upper(m_dni) AS ParticipanteDNI, upper(m_nombre) AS Participante, "
+    "upper(m_cargo) AS Cargo, upper(m_area) AS Area"
+)
+REFUSED = '{"success":false,"message":"payload without participants"}'
 HAS_FACETS = "ocupacion IN ('1-URGENT', '2-HIGH') AND area IN ('O', 'F')"
 ANSWER_HEADER = "Nro;Apellidos y Nombres;DNI;Ocupacion;Area;SourceFile"
 EXPORT_HEADER = "DNI;NOMBRE OFICIAL;OCUPACION;AREA;METODO;ORIGEN"
@@ -96,22 +129,35 @@ QUERIES = {
     "request_manifest": "SELECT *, concat('Archivo ', CAST(pos AS VARCHAR), ': ', name) AS etiqueta FROM "
     "(SELECT doc_seq, mime AS batch, name, row_number() OVER (PARTITION BY mime ORDER BY doc_seq) AS pos "
     "FROM fx_docs)",
+    "manifest_gaps": "SELECT *, concat('Archivo ', CAST(pos AS VARCHAR), ': ', name) AS etiqueta FROM "
+    "(SELECT doc_seq, batch, name, row_number() OVER (PARTITION BY batch ORDER BY doc_seq) AS pos "
+    "FROM fx_gaps_docs)",
+    "request_parts": "SELECT batch, pos * 2 - 1 AS parte, concat('Archivo ', CAST(pos AS VARCHAR), ': ', name) AS text, "
+    "NULL AS mime, NULL AS base64 FROM lugares UNION ALL "
+    "SELECT batch, pos * 2, NULL, mime, to_base64(encode(content)) FROM lugares UNION ALL "
+    "SELECT batch, max(pos) * 2 + 1, 'Extrae una sola tabla.', NULL, NULL FROM lugares GROUP BY batch",
+    "roster_files": "SELECT dni, concat(nombre, ', ', cargo) AS nombre, cargo, area FROM fx_roster",
     "document_filter": "SELECT * FROM fx_docs WHERE mime LIKE 'image/%' OR mime = 'application/pdf'",
     "base64_content": "SELECT doc_seq, to_base64(encode(content)) AS base64 FROM fx_docs",
     "lookup_left": f"SELECT {ROW}, estado, {PERSON} FROM vista",
     "lookup_inner": f"SELECT {ROW}, {PERSON} FROM vista WHERE estado = 'OK'",
     "lookup_anti": f"SELECT {ROW} FROM vista WHERE estado = 'FUERA'",
     "lookup_semi": f"SELECT {ROW} FROM vista WHERE estado = 'OK'",
+    "lookup_gaps": f"SELECT {ROW}, {PERSON} FROM vista_gaps",
     "view_placeholder": f"SELECT {ROW}, {OFFICIAL} FROM vista",
     "status_labels": "SELECT seq, CASE estado WHEN 'OK' THEN 'VÁLIDO' ELSE 'SIN MATCH' END AS etiqueta "
     "FROM vista",
     "summary": "SELECT count(*) AS total, count(*) FILTER (WHERE estado = 'FUERA') AS fuera FROM vista",
     "only_unmatched": f"SELECT {ROW} FROM vista WHERE estado = 'FUERA'",
     "text_filter": f"SELECT {ROW} FROM fx_rows WHERE {HAS_TEXT}",
+    "text_filter_case": f"SELECT {ROW} FROM fx_rows WHERE {HAS_CASED_TEXT}",
     "facet_filter": f"SELECT {ROW} FROM fx_rows WHERE {HAS_FACETS}",
     "facet_status": f"SELECT {ROW}, {OFFICIAL} FROM vista WHERE estado = 'OK' AND {HAS_FACETS}",
-    "highlight": r"SELECT seq, regexp_replace(nombre, '(R#00000001)', '<mark>\1</mark>', 'gi') AS nombre_marcado, "
-    r"regexp_replace(dni, '(R#00000001)', '<mark>\1</mark>', 'gi') AS dni_marcado FROM fx_rows",
+    "highlight": "SELECT seq, replace(nombre, '11', '<mark>11</mark>') AS nombre_marcado, "
+    "replace(dni, '11', '<mark>11</mark>') AS dni_marcado FROM fx_rows",
+    "highlight_case": r"SELECT seq, regexp_replace(nombre, '(R#00000001)', '<mark>\1</mark>', 'gi') "
+    r"AS nombre_marcado, regexp_replace(dni, '(R#00000001)', '<mark>\1</mark>', 'gi') AS dni_marcado FROM fx_rows",
+    "facet_states": "SELECT * FROM (VALUES ('OK', CAST(1 AS BIGINT)), ('FUERA', 2)) AS t(valor, pos)",
     "facet_values": "SELECT valor, row_number() OVER (ORDER BY valor) AS pos FROM "
     "(SELECT DISTINCT nombre AS valor FROM fx_rows WHERE nombre <> '')",
     "sort_asc": _sorted("nombre", "ASC"),
@@ -122,6 +168,8 @@ QUERIES = {
     "view_full": f"SELECT {ROW}, {OFFICIAL}, row_number() OVER (ORDER BY lower(nombre) DESC, seq) AS pos "
     f"FROM vista WHERE estado = 'FUERA' AND {HAS_TEXT} AND {HAS_FACETS}",
     "nearest_name": f"SELECT {ROW}, vinculado FROM typos_vinculados",
+    "nearest_shuffled": f"SELECT {ROW}, vinculado FROM typos_vinculados",
+    "nearest_tokens": f"SELECT {ROW}, vinculado FROM token_vinculados",
     "link_count": "SELECT count(*) FILTER (WHERE vinculado) AS vinculados FROM typos_vinculados",
     "source_document": "SELECT seq, sourceFile, doc_seq, name AS documento, "
     "coalesce(mime LIKE 'image/%', false) AS visible FROM fx_rows LEFT JOIN "
@@ -137,14 +185,30 @@ QUERIES = {
     "UNION ALL SELECT doc_seq + 1 + (SELECT max(doc_seq) FROM fx_docs WHERE mime <> 'application/pdf'), "
     "name, mime FROM fx_docs",
     "export_lines": f"SELECT NULL AS seq, '{EXPORT_HEADER}' AS line UNION ALL "
-    "SELECT seq, concat_ws(';', upper(dni), upper(m_nombre), upper(m_cargo), upper(m_area), method, sourceFile) "
-    "FROM vista WHERE estado = 'OK'",
-    "payload_roundtrip": "SELECT ocupacion AS IdRef, upper(m_dni) AS ParticipanteDNI, "
-    "upper(m_nombre) AS Participante, upper(m_cargo) AS Cargo, upper(m_area) AS Area "
-    "FROM vista WHERE estado = 'OK'",
-    "payload_parts": "SELECT ocupacion AS IdRef, 1 + (nth - 1) // 1000 AS parte, count(*) AS participantes FROM "
-    "(SELECT ocupacion, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS nth "
-    "FROM vista WHERE estado = 'OK') GROUP BY ALL",
+    f"SELECT seq, {LINE} FROM vista WHERE estado = 'OK'",
+    "export_gaps": f"SELECT seq, {LINE} FROM vista_gaps WHERE estado = 'OK'",
+    "export_view": f"SELECT row_number() OVER (ORDER BY lower(nombre) DESC, seq) AS pos, {LINE} FROM vista "
+    f"WHERE estado = 'OK' AND {HAS_TEXT} AND {HAS_FACETS}",
+    "export_files": f"SELECT '{EXPORT_HEADER}' AS line UNION ALL "
+    f"SELECT {LINE} FROM vista WHERE estado = 'OK' AND {HAS_FACETS}",
+    "payload_roundtrip": f"SELECT true AS Id, {PEOPLE} FROM vista WHERE estado = 'OK'",
+    "payload_parts": "SELECT IdRef, 1 + (nth - 1) // 1000 AS parte, count(*) AS participantes, "
+    """concat('{"IdRef":"', IdRef, '","participantes":[', """
+    """string_agg(concat('{"Id":"x","ParticipanteDNI":"', ParticipanteDNI, '","Participante":"', Participante, """
+    """'","Cargo":"', Cargo, '","Area":"', Area, '"}'), ',' ORDER BY nth), ']}') AS payload FROM """
+    f"(SELECT {PEOPLE}, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS nth "
+    "FROM vista WHERE estado = 'OK') GROUP BY 1, 2",
+    "submit_register": f"SELECT true AS Id, {PEOPLE} FROM vista WHERE estado = 'OK' AND area IN ('O', 'F')",
+    "submit_refused": "SELECT seq, dni FROM vista_refs WHERE estado = 'OK' AND ocupacion = ''",
+    "register_rows": "SELECT 'x1' AS Id, concat('R', CAST(doc_id AS VARCHAR)) AS IdRef, "
+    "CAST(doc_id AS VARCHAR) AS ParticipanteDNI, source AS Participante, 'C' AS Cargo, '' AS Area "
+    "FROM documents WHERE doc_id % 5 = 3",
+    "register_rejects": "SELECT * FROM fx_payloads WHERE doc_id % 5 IN (0, 2, 4)",
+    "register_replies": "SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 3) THEN "
+    """'{"success":true}' ELSE """
+    f"'{REFUSED}' END AS reply FROM documents",
+    "reconcile_typos": f"SELECT batch, pos, {ROW.removeprefix('seq, ')}, {OFFICIAL} "
+    "FROM vista_final",
     "reconcile_full": f"SELECT batch, pos, {ROW.removeprefix('seq, ')}, {OFFICIAL} FROM vista_vinculadas",
 }
 
@@ -162,5 +226,5 @@ def oracle_sql() -> dict[str, str]:
     for key, text in QUERIES.items():
         names = _needed(text)
         common = ", ".join(f"{n} AS ({COMMON[n]})" for n in COMMON if n in names)
-        out[key] = f"WITH {common} {text}"
+        out[key] = f"WITH {common} {text}" if common else text
     return out

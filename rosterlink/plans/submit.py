@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..durable import stored
-from ..sinks.payload import PARTICIPANTS_PER_PAYLOAD, payloads
-from ..sinks.register import append_register, replies
-
-
-def submit(
-    shown: DataFrame,
-    id_ref: Column,
-    register: str,
-    sort: str | None = None,
-    direction: str = "asc",
-    per_payload: int = PARTICIPANTS_PER_PAYLOAD,
-) -> DataFrame:
-    """Append the view's matched participants to the register; one reply per payload."""
-    sent = stored(payloads(shown, id_ref, sort, direction, per_payload))
-    append_register(sent, register)
-    return replies(sent).select("IdRef", "parte", "reply")
+from ..sinks.payload import participants, refused
+from ..sinks.register import COLUMNS
+
+# What a row without a reference is told.
+NO_REFERENCE = "IdRef is missing"
+
+
+def submitted(shown: DataFrame, id_ref: Column) -> DataFrame:
+    """Register rows of the view's matched participants.
+
+    They go straight to the register: no numbering, no list per reference, no text.
+    """
+    people = participants(shown, id_ref).select("IdRef", "participante.*")
+    return people.select(*COLUMNS)
+
+
+def submit(shown: DataFrame, id_ref: Column, register: str) -> DataFrame:
+    """Append the view's matched participants to the register.
+
+    Returns the view's matched rows that were refused for want of a reference.
+    """
+    submitted(shown, id_ref).write.mode("append").parquet(register)
+    return refused(shown, id_ref).withColumn("message", F.lit(NO_REFERENCE))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.filters import facet_filter, sort_order, text_filter, with_highlights
-from ..operators.lookup import is_matched, lookup, status
+from ..operators.lookup import is_matched, lookup, status, with_known_text
 from ..operators.ranking import numbered
 
+# The columns of a row that hold text.
+TEXT_COLUMNS = ["nro", "nombre", "dni", "ocupacion", "area", "sourceFile", "method"]
+
 # Fixed value: what the view shows in place of a missing roster person.
 PLACEHOLDER = "---"
 
@@ -40,7 +43,7 @@ def view(
     """
     facets = dict(facets or {})
     states = facets.pop("estado", [])
-    kept = facet_filter(text_filter(rows, text), facets)
+    kept = facet_filter(text_filter(with_known_text(rows, TEXT_COLUMNS), text), facets)
     shown = with_official(lookup(kept, roster, "left", broadcast=broadcast))
     if only_unmatched:
         shown = shown.filter(~is_matched())

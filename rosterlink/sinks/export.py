@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import known
 from ..operators.filters import sort_order
 from ..operators.lookup import is_matched
 
@@ -14,15 +15,17 @@ HEADER = "DNI;NOMBRE OFICIAL;OCUPACION;AREA;METODO;ORIGEN"
 
 def export_lines(view: DataFrame) -> DataFrame:
     """The view's matched rows with their export ``line``, without the header."""
-    line = F.concat_ws(
-        ";",
+    fields = [
         F.upper("dni"),
         F.upper("oficial.nombre"),
         F.upper("oficial.cargo"),
         F.upper("oficial.area"),
-        "method",
-        "sourceFile",
-    )
+        F.col("method"),
+        F.col("sourceFile"),
+    ]
+    # Missing text is an empty field: fields never move up.
+    between = [known(fields[0]), *(F.concat(F.lit(";"), known(f)) for f in fields[1:])]
+    line = F.concat(*between)
     return view.filter(is_matched()).withColumn("line", line)
 
 

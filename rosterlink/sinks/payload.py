@@ -10,11 +10,9 @@ from ..operators.filters import sort_order
 from ..operators.lookup import is_matched
 from ..operators.ranking import numbered
 
-PARTICIPANTS_PER_PAYLOAD = 1000
-
 
 def participants(view: DataFrame, id_ref: Column) -> DataFrame:
-    """One row per matched row of the view; rows without ``id_ref`` are not sent."""
+    """One row per matched row of the view; see :func:`refused` for rows without ``id_ref``."""
     return (
         view.withColumn("IdRef", known(id_ref))
         .filter((F.col("IdRef") != "") & is_matched())
@@ -22,27 +20,33 @@ def participants(view: DataFrame, id_ref: Column) -> DataFrame:
             "participante",
             F.struct(
                 participant_id(F.col("IdRef"), F.col("seq")).alias("Id"),
-                F.upper("oficial.dni").alias("ParticipanteDNI"),
-                F.upper("oficial.nombre").alias("Participante"),
-                F.upper("oficial.cargo").alias("Cargo"),
-                F.upper("oficial.area").alias("Area"),
+                F.upper(known(F.col("oficial.dni"))).alias("ParticipanteDNI"),
+                F.upper(known(F.col("oficial.nombre"))).alias("Participante"),
+                F.upper(known(F.col("oficial.cargo"))).alias("Cargo"),
+                F.upper(known(F.col("oficial.area"))).alias("Area"),
             ),
         )
     )
 
 
+def refused(view: DataFrame, id_ref: Column) -> DataFrame:
+    """Matched rows that cannot be sent because they have no reference."""
+    return view.filter((known(id_ref) == "") & is_matched())
+
+
 def payloads(
     view: DataFrame,
     id_ref: Column,
+    per_payload: int,
     sort: str | None = None,
     direction: str = "asc",
-    per_payload: int = PARTICIPANTS_PER_PAYLOAD,
 ) -> DataFrame:
     """``IdRef``, ``parte`` and ``payload``, with the participants in view order.
 
-    A reference with many participants is sent in several parts, all complete
-    and in order, so that no task gathers an unbounded list. A reference without
-    participants has no payload.
+    For references that leave the cluster as text. A reference with more than
+    ``per_payload`` participants is sent in several parts, all complete and in
+    order: a payload is one value, so its size must have a bound, which the
+    caller states. A reference without participants has no payload.
     """
     listed = participants(view, id_ref)
     kept = ["IdRef", "participante", "seq"] + ([sort] if sort else [])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import known
@@ -45,5 +45,9 @@ def replies(payloads: DataFrame) -> DataFrame:
     return _parsed(payloads).withColumn("reply", reply).drop("_sent")
 
 
+def read_register(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(", ".join(f"{c} string" for c in COLUMNS)).parquet(path)
+
+
 def append_register(payloads: DataFrame, path: str) -> None:
     register_rows(payloads).write.mode("append").parquet(path)

@@ -24,13 +24,24 @@ def _succeeded():
 def resolve_attempts(attempts: DataFrame) -> DataFrame:
     """First successful attempt of each batch by ``model_rank``.
 
-    White space is an answer: emptiness is judged before any cleaning.
+    White space is an answer: emptiness is judged before any cleaning. At equal ranks
+    the first model by name wins; a model answers a batch once. Only batch, rank and model are aggregated; of the
+    answers, the winning ones alone are joined, null batches included.
     """
-    return (
-        attempts.filter(_succeeded())
-        .groupBy("batch")
-        .agg(F.min_by(F.struct("model", "response"), "model_rank").alias("_won"))
-        .select("batch", F.col("_won.model").alias("modelUsed"), "_won.response")
+    good = attempts.filter(_succeeded())
+    best = good.groupBy("batch").agg(F.min(F.struct("model_rank", "model")).alias("_best"))
+    best = best.select(
+        F.col("batch").alias("_batch"),
+        F.col("_best.model_rank").alias("_rank"),
+        F.col("_best.model").alias("_model"),
+    )
+    won = (
+        F.col("batch").eqNullSafe(F.col("_batch"))
+        & F.col("model_rank").eqNullSafe(F.col("_rank"))
+        & F.col("model").eqNullSafe(F.col("_model"))
+    )
+    return good.join(best, won, "left_semi").select(
+        "batch", F.col("model").alias("modelUsed"), "response"
     )
 
 

@@ -3,6 +3,12 @@ from pyspark.sql import functions as F
 
 from rosterlink.operators.documents import append_documents, remove_documents, source_document
 from rosterlink.operators.edits import apply_corrections
+from rosterlink.sources.documents import (
+    read_documents,
+    rejected_files,
+    request_manifest,
+    request_parts,
+)
 
 
 def listing(spark, data):
@@ -87,3 +93,38 @@ def test_corrections(spark):
     once = log.filter("n = 1")
     got = {r["seq"]: (r["dni"], r["method"]) for r in apply_corrections(rows, once).collect()}
     assert got[1] == ("early", "MANUAL")
+
+
+def test_null_batches_are_numbered(spark):
+    docs = spark.createDataFrame(
+        [(1, "a", None), (2, "b", None), (3, "c", "x")], "doc_seq long, name string, batch string"
+    )
+    got = {r["doc_seq"]: r["etiqueta"] for r in request_manifest(docs, ["batch"]).collect()}
+    assert got == {1: "Archivo 1: a", 2: "Archivo 2: b", 3: "Archivo 1: c"}
+
+
+def test_every_image_type_is_read_and_the_rest_reported(spark, tmp_path):
+    names = "a.jpg b.JFIF c.ico d.apng e.jpe f.jxl g.pdf h.webp i.svg j.tga".split()
+    others = "x.txt y.unknown z noext.d/w.html".split()
+    for name in [*names, *others]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"data")
+    read = read_documents(spark, str(tmp_path)).collect()
+    assert sorted(r["name"] for r in read) == sorted(names)
+    assert all(r["mime"].startswith("image/") or r["name"] == "g.pdf" for r in read)
+    left = {r["path"].rsplit("/", 1)[1]: r["mime"] for r in rejected_files(spark, str(tmp_path)).collect()}
+    assert left.keys() == {"x.txt", "y.unknown", "z", "w.html"}
+    assert left["y.unknown"] is None and left["x.txt"] == "text/plain"
+
+
+def test_request_parts(spark):
+    docs = spark.createDataFrame(
+        [(1, "a", "image/png", b"1" * 100, 7), (2, "b", "image/gif", None, 7), (3, "c", None, b"", None)],
+        "doc_seq long, name string, mime string, content binary, batch long",
+    )
+    parts = sorted(request_parts(docs, ["batch"], "read").collect(), key=lambda r: (r.batch or 0, r.parte))
+    assert [(r.batch, r.parte, r.text or r.mime) for r in parts] == [
+        (None, 1, "Archivo 1: c"), (None, 2, None), (None, 3, "read"),
+        (7, 1, "Archivo 1: a"), (7, 2, "image/png"), (7, 3, "Archivo 2: b"), (7, 4, "image/gif"), (7, 5, "read"),
+    ]
+    assert "\n" not in parts[4].base64 and len(parts[4].base64) == 136

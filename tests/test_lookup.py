@@ -91,3 +91,13 @@ def test_sizes(spark, roster):
         assert not fits_broadcast(roster)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_every_hot_key_is_spread(spark):
+    """Many heavy keys: none is left out, and the join stays right."""
+    rows = spark.range(6000).select(F.col("id").alias("seq"), (F.col("id") % 300).alias("k"))
+    unique = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = hot_keys(rows, ["k"], rows_per_task=7)
+    assert hot.count() == 300 and {r["_tasks"] for r in hot.collect()} == {3}
+    joined = lookup_join(rows, unique, ["k"], broadcast=False, rows_per_task=7)
+    assert joined.count() == 6000 and joined.filter("v is null or v != 2 * k").count() == 0

@@ -61,16 +61,17 @@ def test_payloads(matched):
         assert [p["ParticipanteDNI"] for p in by_ref[ref]] == [f"{i:04d}Ñ" for i in want]
         assert [p["Participante"] for p in by_ref[ref]] == [f"NAME {i}" for i in want]
         assert all(list(p) == ["Id", "ParticipanteDNI", "Participante", "Cargo", "Area"] for p in by_ref[ref])
-    whole = payloads(matched, F.lit("one")).collect()
+    whole = payloads(matched, F.lit("one"), per_payload=1000).collect()
     assert [(r["IdRef"], r["parte"]) for r in whole] == [("one", 1)]
-    assert payloads(matched.filter(F.lit(False)), F.lit("one")).count() == 0
-    assert payloads(matched, F.lit("")).count() == 0
+    assert payloads(matched.filter(F.lit(False)), F.lit("one"), per_payload=10).count() == 0
+    assert payloads(matched, F.lit(""), per_payload=10).count() == 0
 
 
 def test_register(spark, matched, tmp_path):
     path = str(tmp_path / "register")
-    first = submit(matched, F.col("ref"), path, per_payload=10).collect()
-    assert all(r["reply"] == '{"success":true}' for r in first)
+    told = submit(matched, F.col("ref"), path).collect()
+    assert sorted(r["seq"] for r in told) == [i for i in range(90, 100) if i % 50 < 40]
+    assert all(r["message"] for r in told)
     register = spark.read.parquet(path)
     assert register.columns == COLUMNS
     count = sum(1 for i in range(90) if i % 50 < 40)
@@ -79,6 +80,19 @@ def test_register(spark, matched, tmp_path):
     assert spark.read.parquet(path).count() == 2 * count
 
 
+def test_missing_text_is_an_empty_field(spark):
+    roster = spark.createDataFrame(
+        [(1, "7", "ana", None, "norte")], "seq long, dni string, nombre string, cargo string, area string"
+    )
+    rows = spark.createDataFrame(
+        [(1, "7", None, None)], "seq long, dni string, method string, sourceFile string"
+    )
+    shown = lookup(rows, roster)
+    assert [r["line"] for r in export_lines(shown).collect()] == ["7;ANA;;NORTE;;"]
+    sent = json.loads(payloads(shown, F.lit("r"), per_payload=5).first()["payload"])
+    assert sent["participantes"][0]["Cargo"] == ""
+
+
 def test_malformed_payloads(spark):
     df = spark.createDataFrame(
         [

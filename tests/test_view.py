@@ -87,7 +87,9 @@ def test_sort(rows, roster, column, direction, expected):
 
 def test_facet_values(rows):
     assert [r[0] for r in facet_values(rows, "sourceFile").collect()] == ["A1.jpeg", "A2.jpeg", "a1.jpeg"]
-    assert [tuple(r) for r in facet_values(rows, "estado", positions=True).collect()] == [("OK", 1), ("FUERA", 2)]
+    states = facet_values(rows, "estado", positions=True)
+    assert states.dtypes == facet_values(rows, "nombre", positions=True).dtypes
+    assert [tuple(r) for r in states.collect()] == [("OK", 1), ("FUERA", 2)]
 
 
 def test_roster_search(roster):
