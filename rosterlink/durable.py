@@ -22,6 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Tables that this driver has written.
+_MADE: list[str] = []
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Delete the tables that :func:`stored` has written so far; returns their number.
+
+    Call it when the results that were made from them are written.
+    """
+    made = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        made += bool(files.delete(path, True))
+    return made
+
+
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """Run ``df`` once and go on from a table in the shared folder.
 
@@ -29,5 +46,6 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     go to the Parquet writer.
     """
     path = f"{shared_folder(df.sparkSession)}/rosterlink-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

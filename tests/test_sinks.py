@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from rosterlink.durable import remove_stored, stored
 from rosterlink.operators.lookup import lookup
 from rosterlink.plans import submit
 from rosterlink.sinks.export import HEADER, export_lines, write_export
@@ -93,6 +94,12 @@ def test_missing_text_is_an_empty_field(spark):
     assert sent["participantes"][0]["Cargo"] == ""
 
 
+def test_stored_tables_can_be_removed(spark):
+    remove_stored(spark)
+    kept = stored(spark.range(3))
+    assert kept.count() == 3 and remove_stored(spark) == 1 and remove_stored(spark) == 0
+
+
 def test_malformed_payloads(spark):
     df = spark.createDataFrame(
         [
