@@ -123,3 +123,37 @@ def test_no_rows(docs):
     none = docs.filter(F.lit(False))
     assert packing.pack(none, WORDS, 2).count() == 0
     assert ids.digests(ids.id_files(none, BYTES, 0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    from rosterlink.llm.queries import table
+
+    rows = table(spark, "/root/testdata/sf0.001", "documents").collect()
+    return {r.doc_id: r.text for r in rows}
+
+
+def test_registered_token_files(spark, documents):
+    from rosterlink.llm.queries import QUERIES
+
+    made = QUERIES["op6_token_files"](spark, "/root/testdata/sf0.001").collect()
+    start = 0
+    for row, doc_id in zip(sorted(made, key=lambda r: r.doc_id), sorted(documents), strict=True):
+        own = np.array(expected_ids(BYTES, documents[doc_id], 0), "<u4")
+        assert tuple(row) == (doc_id, start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+
+
+def test_registered_packing(spark, documents):
+    from rosterlink.llm.queries import QUERIES
+
+    made = QUERIES["op10_packing"](spark, "/root/testdata/sf0.001").collect()
+    own = {i: np.array(expected_ids(WORDS, t, 2), "<u4") for i, t in documents.items()}
+    seen = dict.fromkeys(own, 0)
+    for r in sorted(made, key=lambda r: (r.sequence_id, r.offset)):
+        piece = own[r.doc_id][r.start : r.start + r.length]
+        assert r.start == seen[r.doc_id] and r.doc_tokens == len(own[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(piece.tobytes()) and len(piece) == r.length
+        seen[r.doc_id] += r.length
+    assert seen == {i: len(x) for i, x in own.items()}
+    assert sum(seen.values()) <= 4096 * (max(r.sequence_id for r in made) + 1)
