@@ -158,38 +158,44 @@ def restore(token: str, chars: np.ndarray) -> str:
     A state is the last two characters read; words inside the token end where the
     model prefers it, at a separator. Characters that have no other reading stay.
     """
-    # State: (code before last, last code) -> (cost, text so far).
-    best = {(0, 0): (0.0, "")}
+    # State: (code before last, last code) -> (cost, what was read, as a chain of links).
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for at, c in enumerate(token):
         letters = LOOKS_LIKE.get(c, "")
         ends = c in SEPARATORS and bool(at) and at + 1 < len(token)
-        nexts: dict[tuple[int, int], tuple[float, str]] = {}
+        nexts: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def offer(state: tuple[int, int], cost: float, text: str, into: dict = nexts) -> None:
+        def offer(state: tuple[int, int], cost: float, read: tuple | None, into: dict = nexts) -> None:
             known = into.get(state)
-            if known is None or (cost, text) < known:
-                into[state] = cost, text
+            if known is None or cost < known[0]:
+                into[state] = cost, read
 
-        for (a, b), (cost, text) in best.items():
+        for (a, b), (cost, read) in best.items():
             row = chars[a, b]
             if ends:
-                offer((a, b), cost + APART, text)
-                offer((0, 0), cost - row[0], text + " ")
+                offer((a, b), cost + APART, read)
+                offer((0, 0), cost - row[0], (read, " "))
             if not ends or letters:
                 code = _NUMBER.get(c, 1)
                 if not ends:
-                    offer((b, code), cost - row[code], text + c)
+                    offer((b, code), cost - row[code], (read, c))
                 for letter in letters:
                     code = _NUMBER[letter]
-                    offer((b, code), cost + REPLACED - row[code], text + letter)
-            if at and (c == before or letters) and text and b > 1:
-                last = text[-1]
-                if last == c or last in letters or before == c:
-                    offer((a, b), cost + REPEATED, text)
+                    offer((b, code), cost + REPLACED - row[code], (read, letter))
+            if read is not None and b > 1 and (c == before or read[1] in letters):
+                offer((a, b), cost + REPEATED, read)
         best, before = nexts, c
-    found = [(cost - chars[a, b][0], text) for (a, b), (cost, text) in best.items()]
-    return min(found)[1]
+    _, read = min(((cost - chars[a, b][0], read) for (a, b), (cost, read) in best.items()), key=_cost)
+    found = []
+    while read is not None:
+        read, c = read
+        found.append(c)
+    return "".join(reversed(found))
+
+
+def _cost(reading: tuple) -> float:
+    return reading[0]
 
 
 def squeezed(word: str) -> str:

@@ -132,7 +132,6 @@ def test_sample_is_bounded_and_leaves_held_out_rows(spark, small):
     texts = labelled.sample(docs, labels, "toxic", most=50)
     assert len(texts) == 50 and texts == labelled.sample(docs.repartition(7), labels, "toxic", most=50)
     everything = labels.union(spark.createDataFrame([(5, 1, 1), (8, 1, 1)], labels.schema))
-    assert [i for i in (5, 8) if held(i)] or True
     ids = {int(t.split()[3]) for t, _ in labelled.sample(docs, everything, "toxic")}
     assert not any(map(held, ids))
 
@@ -157,6 +156,12 @@ def test_disguised_words(reader, text):
     assert any(DISGUISES[text] in b for _, b in reader.restored(text))
 
 
+def test_long_disguised_words_take_time_in_proportion(reader):
+    for text in ("1a" * 200000, "a b " * 100000, "i" * 300000, "x$" * 100000 + " idiot"):
+        found, _ = reader.terms(text)
+        assert ("idiot" in found) == ("idiot" in text)
+
+
 @pytest.mark.parametrize("text", ["closer", "a a a a a a", "7zip", "9233A8ECF7C5B09FE594", "", "1234", "the *** end", "a.b.c.d"])
 def test_undisguised_words(reader, text):
     found, n = reader.terms(text)
