@@ -38,6 +38,27 @@ def components(links: DataFrame) -> DataFrame:
         before, state = state, _state(edges)
         if state == before:
             break
+    # Stored, so that a join with many members of one component can be split.
     leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     own = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return leaves.union(own)
+    return stored(leaves.union(own))
+
+
+def with_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Add ``component`` to rows with ``id`` and ``first``.
+
+    ``first`` is the smallest id of the class of equal rows that a row belongs to, null for
+    a row that links with nothing; ``links(a, b)`` are between such ids. Copies thus take no
+    part in the rounds above. Classes that share an id are linked by it.
+    """
+    several = (
+        members.filter("first is not null")
+        .groupBy("id")
+        .agg(F.min("first").alias("low"), F.max("first").alias("high"))
+        .filter("low < high")
+    )
+    bridges = members.join(several, "id").select(F.col("first").alias("a"), F.col("low").alias("b"))
+    found = components(links.union(bridges)).withColumnRenamed("id", "first")
+    return members.join(found, "first", "left").withColumn(
+        "component", F.coalesce("component", "first", "id")
+    )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rosterlink.durable import stored
 
-from .components import components
+from .components import with_components
 from .groups import block_pairs, forest, per_unit, shared_values
 
 COSINE = 0.93
@@ -247,13 +247,10 @@ def near_duplicates(
         .join(ids.toDF("b", "y"), "b")
         .select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
-    named = rows.drop("embedding").join(linked.drop("rep"), keys, "left")
-    equal = named.select(F.col("id").alias("a"), F.col("first").alias("b"))
-    reached = components(links.union(equal))
-    component = F.coalesce("component", "id")
-    return named.join(reached, "id", "left").select(
+    members = rows.drop("embedding").join(linked.drop("rep"), keys, "left")
+    return with_components(members, links).select(
         F.col("id").alias(id_column),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )

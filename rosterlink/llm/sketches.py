@@ -17,7 +17,7 @@
 4. The forest's components hold all documents that can be linked. The full sets of
    these documents, and of no others, are made again from the texts; inside each component all
    pairs are compared exactly. Again a spanning forest of the links leaves a task.
-5. Components of the links and of the equal sets give the answer.
+5. Components of the links between classes give the answer.
 
 Lists and components of any size are compared in blocks (``groups.py``): no group is
 gathered in one task, none is cut off, and no table holds a row per pair.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rosterlink.durable import stored
 
-from .components import components
+from .components import components, with_components
 from .groups import block_pairs, forest, per_unit, shared_values
 from .shingles import shingle_sets
 
@@ -206,29 +206,24 @@ def near_duplicates(
     an empty table.
     """
     table = stored(sketched(docs, id_column))
-    filled = table.filter("n_shingles > 0 and doc_id is not null")
     keys = ["n_shingles", "set_low", "set_high"]
-    classes = filled.groupBy(*keys).agg(
-        F.min("doc_id").alias("first"), F.count("*").alias("n"), F.max("doc_id").alias("last")
-    )
-    equal = (
-        filled.join(classes.filter("first < last"), keys)
-        .filter("doc_id != first")
-        .select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    )
-    # One row stands for each class, also when its id repeats.
+    # One row stands for each class of equal sets; an id may stand for several.
     representatives = stored(
-        filled.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+        table.filter("n_shingles > 0 and doc_id is not null")
+        .groupBy(*keys)
+        .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     )
     postings = stored(listed(representatives))
     lists = block_pairs(postings, ["value"], "doc_id", F.lit(1), DOCS_PER_BLOCK)
-    # The same document may stand for several sets; its pairs are then compared for each.
     members = lists.join(representatives.select("doc_id", "n_shingles", "sketch"), "doc_id")
     candidates = per_unit(members, ["value"], _estimated(percent, MARGIN), _LINKS)
     clusters = components(candidates).withColumnRenamed("component", "cluster")
 
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text"))
-    sets = full_sets(texts.join(clusters.withColumnRenamed("id", "doc_id"), "doc_id"))
+    # Texts are shuffled whatever the number of candidates. Where the scan is large and the
+    # candidates few, Spark puts a Bloom filter of their ids before the shuffle.
+    wanted = clusters.withColumnRenamed("id", "doc_id").hint("merge")
+    sets = full_sets(texts.join(wanted, "doc_id"))
     # A block is bounded in documents as well.
     size = F.greatest(F.col("n_shingles") * 8, F.lit(BYTES_PER_BLOCK // DOCS_PER_BLOCK))
     sized = clusters.withColumnRenamed("id", "doc_id").join(
@@ -238,11 +233,15 @@ def near_duplicates(
         sets.filter("n_shingles > 0"), ["cluster"], "doc_id", size, BYTES_PER_BLOCK, sized
     )
     links = per_unit(units, ["cluster"], _exact(percent), _LINKS)
-    found = components(links.union(equal)).withColumnRenamed("id", "doc_id")
-    component = F.coalesce("component", "doc_id")
-    return table.join(found, "doc_id", "left").select(
-        "doc_id",
+    first = F.when(F.col("id").isNotNull(), F.col("first"))
+    members = (
+        table.select(F.col("doc_id").alias("id"), *keys)
+        .join(representatives.select(*keys, F.col("doc_id").alias("first")), keys, "left")
+        .select("id", "n_shingles", first.alias("first"))
+    )
+    return with_components(members, links).select(
+        F.col("id").alias("doc_id"),
         "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
