@@ -105,7 +105,7 @@ UNION ALL
 SELECT seq + 1000000000 AS seq, concat('00', dni) AS dni, concat(nombre, ' later') AS nombre, cargo, area
 FROM {fx_roster} WHERE seq % 2 = 0
 UNION ALL
-SELECT -seq AS seq, CAST(seq AS VARCHAR(20)) AS dni, concat(nombre, ' earlier') AS nombre, cargo, area
+SELECT -1 - seq AS seq, CAST(seq AS VARCHAR(20)) AS dni, concat(nombre, ' earlier') AS nombre, cargo, area
 FROM {fx_roster} WHERE seq % 5 = 0
 """
 
@@ -147,7 +147,7 @@ FROM {part}
 TOKEN_ROWS = """
 SELECT seq, CAST(seq AS VARCHAR(20)) AS nro,
        concat(substring(nombre, 1, CAST(seq % 9 AS INT) + 1), substring(nombre, CAST(seq % 9 AS INT) + 3)) AS nombre,
-       'X' AS dni, cargo AS ocupacion, area, 'A1.jpeg' AS sourceFile, 'DEFAULT' AS method
+       concat('X', CAST(seq AS VARCHAR(20))) AS dni, cargo AS ocupacion, area, 'A1.jpeg' AS sourceFile, 'DEFAULT' AS method
 FROM {fx_token_roster}
 """
 
