@@ -20,8 +20,8 @@ _OTHER = re.compile("[^\\x00-\\u017f\\u2010-\\u2027]")
 # Unicode white space among them.
 SPACE = "\\t-\\r \\x85\\xa0"
 
-# A worker's table is emptied when it holds so many pre-tokens (about 200 bytes each).
-MOST_KEPT = 1_000_000
+# A worker's table is emptied when it holds so many pre-tokens (about 230 bytes each).
+MOST_KEPT = 400_000
 
 
 def _of_category(letter: str) -> str:
