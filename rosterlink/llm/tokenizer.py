@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
+from array import array
 
 import numpy as np
 
-from .pretokens import Table, byte_level_pattern, is_plain, word_pattern
+from .pretokens import MOST_KEPT, Table, byte_level_pattern, is_plain, word_pattern
+
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class TextEncoder:
@@ -18,7 +22,7 @@ class TextEncoder:
     goes to the library as it is. Special tokens' strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -26,11 +30,11 @@ class TextEncoder:
         self.library.encode_special_tokens = True
         self.lower = self.library.normalizer is not None
         self.cut = (word_pattern() if self.lower else byte_level_pattern()).findall
-        self.table = Table(self._whole)
+        self.table = Table(self._whole, most)
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -44,6 +48,6 @@ class TextEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, most: int = MOST_KEPT) -> TextEncoder:
     """One encoder per file and Python worker."""
-    return TextEncoder(path)
+    return TextEncoder(path, most)
