@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rosterlink.durable import stored
 from rosterlink.llm import packing, rules, sketches, toxicity
-from rosterlink.llm.settings import PACKING_END, POLICY, TOXIC, table, vocabulary
+from rosterlink.llm.settings import PACKING_END, POLICY, SIMILAR, TOXIC, table, vocabulary
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows that share an id are one document and stay or go together.
     """
-    gone = sketches.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    gone = sketches.near_duplicates(docs, SIMILAR).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

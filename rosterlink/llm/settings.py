@@ -17,6 +17,9 @@ POLICY = rules.V1
 # From this score on a document is toxic.
 TOXIC = 0.5
 
+# From this similarity on (per cent) the pipeline takes documents as near duplicates.
+SIMILAR = 80
+
 # The end of a document in packed sequences.
 PACKING_END = 2
 

@@ -5,15 +5,15 @@
    a class at once; one of them stands for it from here on.
 2. Inverted lists: each of a sketch's ``LISTED`` smallest values leads to the documents
    that retain it. Two documents that are similar enough share most of them, at
-   least ``SHARED`` but for a chance below one in a million (a binomial tail). So
+   least ``least_shared`` but for a chance below one in a million (a binomial tail). So
    the lists of a document's most frequent values can be passed over: if two documents
-   share ``SHARED`` values, one of these is among the ``LISTED - SHARED + 1`` rarest of both.
+   share so many values, one of these is among the rarest of both (all but ``least_shared - 1``).
    Passages that very many documents share thus make no long lists, unless
    a document consists of little else.
 3. Inside a list, pairs are filtered by the union of their sketches: the values
    up to the lower of both sketches' ends are a uniform sample of the union, and the share
    that both retain estimates the similarity. A pair goes on when its estimate is
-   above the limit less ``MARGIN``. Only a spanning forest of such pairs leaves a task.
+   above the limit less ``margin``. Only a spanning forest of such pairs leaves a task.
 4. The forest's components hold all documents that can be linked. The full sets of
    these documents, and of no others, are made again from the texts; inside each component all
    pairs are compared exactly. Again a spanning forest of the links leaves a task.
@@ -25,6 +25,7 @@ gathered in one task, none is cut off, and no table holds a row per pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +39,10 @@ from .components import components, with_components
 from .groups import block_pairs, forest, per_unit, shared_values
 from .shingles import shingle_sets
 
-# Links have 100 * intersection >= PERCENT * union.
+# Links have 100 * intersection >= PERCENT * union, where no other limit is asked for.
 PERCENT = 85
 KEPT = 48
 LISTED = 16
-SHARED = 5
-# Four standard deviations of the estimate at the limit.
-MARGIN = 0.21
 # Documents, and bytes of sets, in a block.
 DOCS_PER_BLOCK = 1024
 BYTES_PER_BLOCK = 4 * 2**20
@@ -55,6 +53,23 @@ _SKETCH = "doc_id long, n_shingles long, set_low long, set_high long, sketch bin
 _LINKS = "a long, b long"
 
 
+def least_shared(percent: int) -> int:
+    """How many listed values two documents at the limit share, but for a chance of 1e-6."""
+    p, tail, n = percent / 100, 0.0, 0
+    while n < LISTED:
+        tail += math.comb(LISTED, n) * p**n * (1 - p) ** (LISTED - n)
+        if tail >= 1e-6:
+            break
+        n += 1
+    return max(1, n)
+
+
+def margin(percent: int) -> float:
+    """Four standard deviations of the estimate at the limit, in whole hundredths."""
+    p = percent / 100
+    return math.ceil(400 * math.sqrt(p * (1 - p) / KEPT)) / 100
+
+
 def sketched(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``doc_id``, ``n_shingles``, two halves of a checksum of the set, ``sketch``."""
 
@@ -110,8 +125,9 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "cluster", "text").mapInArrow(run, schema)
 
 
-def listed(representatives: DataFrame) -> DataFrame:
+def listed(representatives: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``value``, ``doc_id``: the lists that a document takes part in."""
+    least = least_shared(percent)
     value = F.transform(
         F.sequence(F.lit(0), F.least(F.lit(LISTED), F.col("n_shingles").cast("int")) - 1),
         lambda i: F.hex(F.substring("sketch", i * 8 + 1, F.lit(8))),
@@ -122,7 +138,7 @@ def listed(representatives: DataFrame) -> DataFrame:
         "doc_id", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "value").alias("own")
     )
     size = F.size("owns")
-    shared = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(size * SHARED / LISTED)))
+    shared = F.greatest(F.lit(1), F.least(F.lit(least), F.floor(size * least / LISTED)))
     by_doc = counted.groupBy("doc_id").agg(F.sort_array(F.collect_list("own")).alias("owns"))
     rarest = F.filter(
         F.slice("owns", 1, (size - shared + 1).cast("int")), lambda x: x["n"] > 1
@@ -157,7 +173,7 @@ def _crossing(unit: pa.Table) -> np.ndarray | bool:
     return own[:, None] != own[None, :]
 
 
-def _estimated(percent: int, margin: float):
+def _estimated(percent: int, less: float):
     def work(unit: pa.Table) -> pa.Table | None:
         n, sizes = unit.num_rows, unit["n_shingles"].to_numpy()
         values, rows = _ragged(unit["sketch"])
@@ -172,7 +188,7 @@ def _estimated(percent: int, margin: float):
             upto[i] = np.searchsorted(values[a:b], last, side="right")
         union = upto + upto.T - both
         lowest, highest = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-        limit = percent / 100 - margin
+        limit = percent / 100 - less
         ok = (both >= limit * union) & (100 * lowest >= percent * highest) & (both > 0)
         return _edges(unit["doc_id"].to_numpy(), ok & _crossing(unit))
 
@@ -213,10 +229,10 @@ def near_duplicates(
         .groupBy(*keys)
         .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     )
-    postings = stored(listed(representatives))
+    postings = stored(listed(representatives, percent))
     lists = block_pairs(postings, ["value"], "doc_id", F.lit(1), DOCS_PER_BLOCK)
     members = lists.join(representatives.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    candidates = per_unit(members, ["value"], _estimated(percent, MARGIN), _LINKS)
+    candidates = per_unit(members, ["value"], _estimated(percent, margin(percent)), _LINKS)
     clusters = components(candidates).withColumnRenamed("component", "cluster")
 
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text"))

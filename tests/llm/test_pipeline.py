@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from test_rules import plain
 from test_sketches import expected as components_of
+from test_sketches import find, grams
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -63,3 +64,27 @@ def test_filters_return_the_columns_of_documents(spark, stage):
     assert made.schema.names == docs.schema.names
     assert made.exceptAll(docs).count() == 0 and 0 < made.count() < docs.count()
     assert corpus_pipeline.STAGES[stage][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_near_duplicates_from_80_per_cent_on(spark):
+    base = [f"w{i}" for i in range(204)]
+    # 200 sets of five words; n new words at the end leave 200 - n of 200 + n.
+    rows = [(100 + n, " ".join([*base[: 204 - n], *(f"n{n}x{i}" for i in range(n))]), 200 - n) for n in (20, 22, 23)]
+    for doc_id, text, shared in rows:
+        pair = spark.createDataFrame([(1, " ".join(base)), (doc_id, text)], "doc_id long, text string")
+        kept = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, pair, FOLDER).collect()}
+        assert kept == ({1} if 100 * shared >= 80 * (400 - shared) else {1, doc_id})
+
+
+def test_near_duplicates_against_all_pairs_at_80_per_cent(spark):
+    docs = table(spark, FOLDER, "documents")
+    sets = [(r.doc_id, grams(r.text)) for r in docs.orderBy("doc_id").collect()]
+    parent = {i: i for i, _ in sets}
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            n = len(s & t)
+            if n and 100 * n >= 80 * (len(s) + len(t) - n):
+                x, y = find(parent, i), find(parent, j)
+                parent[max(x, y)] = min(x, y)
+    made = corpus_pipeline.without_near_duplicates(spark, docs, FOLDER)
+    assert {r.doc_id for r in made.collect()} == {i for i in parent if find(parent, i) == i}

@@ -118,3 +118,11 @@ def test_shared_values_and_forest():
         x, y = find(parent, a), find(parent, b)
         parent[max(x, y)] = min(x, y)
     assert root.tolist() == [find(parent, i) for i in range(200)]
+
+
+def test_bounds_follow_the_limit():
+    assert [sketches.least_shared(p) for p in (80, 85)] == [4, 5]
+    assert [sketches.margin(p) for p in (80, 85)] == [0.24, 0.21]
+    for p in (80, 85):
+        made = np.random.default_rng(1).binomial(sketches.LISTED, p / 100, 10**6)
+        assert (made < sketches.least_shared(p)).sum() <= 5
