@@ -1,11 +1,14 @@
 """Toxicity of texts whose words may be disguised: a noisy-channel decoder.
 
 Disguise is taken as noise on a word: letters replaced by look-alikes ("1d10t"),
-set apart ("i d i o t", "i.d.i.o.t") or repeated ("idiiiot"). A disguised word is a
-lattice: at each character it could be itself or one of the letters it may stand for,
+set apart ("i d i o t", "i/d/i/o/t", "id-iot") or repeated ("idiiiot", "idiiot"). A disguised word
+is a lattice: at each character it could be itself or one of the letters it may stand for,
 it could repeat the letter before it, or it could be a separator that means nothing. The best path
-under a character language model and the costs of the channel (Viterbi) restores the word. Scores are
-given to restored text.
+under a character language model and the costs of the channel (Viterbi) restores the word. A
+token or stretch of single characters enters if some path of its lattice begins a word with a term;
+what no path can spell is never found, so nothing is lost. Tokens of nothing but
+letters are read as they stand unless the best path is likelier by a margin ("looser" is no
+"loser"). Scores are given to restored text.
 
 The language model counts runs of three characters in the words of all
 documents, and the learned terms are added to it. Terms are beginnings of words that the labelled
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,11 +58,11 @@ LOOKS_LIKE = {
     "¡": "i",
     "*": "aeiou",
 }
-# Characters between letters that may mean nothing.
-SEPARATORS = " .-_*~'"
-
 # Costs of the channel, as negative logarithms.
 REPLACED, REPEATED, APART = 1.0, 0.5, 0.7
+# A token of nothing but letters, without a run of three, is seldom a disguise: what it
+# costs to take a mark inside it, or a doubled letter, for one.
+MARKED, DOUBLED = 4.0, 11.5
 
 # A term begins words in this share of the toxic texts of the sample, and is so much
 # denser there than in the others.
@@ -73,13 +76,16 @@ _SIZE = len(_LETTERS) + 2
 _NUMBER = {c: i + 2 for i, c in enumerate(_LETTERS)}
 
 _AROUND = "#%&<>\"'()[]{}.,;:?-_~^`=/\\*"
-_JOIN = str.maketrans("", "", SEPARATORS)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_SYMBOL = "".join(re.escape(c) for c in LOOKS_LIKE if not c.isdigit())
-_LETTER = r"[^\W\d_]"
-# Single characters set apart by one or two separators, four or more.
-_APART = re.compile(rf"(?<![^\W_])(?:[^\W_][{re.escape(SEPARATORS)}]{{1,2}}){{3,}}[^\W_](?![^\W_])")
-_MIXED = re.compile(rf"{_LETTER}[\d{_SYMBOL}]|[\d{_SYMBOL}]{_LETTER}")
+_SYMBOL = "".join(re.escape(c) for c in LOOKS_LIKE if not c.isalnum() and c != "*")
+# Characters of words, and characters that may set them apart. "*" may be either.
+_UNIT, _GAP = rf"(?:[^\W_]|[{_SYMBOL}])", rf"(?:_|[^\w{_SYMBOL}])"
+_GAPS = re.compile(rf"{_GAP}+")
+# Three or more single characters set apart, by whatever and however wide.
+_APART = re.compile(rf"(?<![^\W_]){_UNIT}(?:{_GAP}++{_UNIT}){{2,}}(?![^\W_])")
+_ORDINARY = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)*")
+# What is set around an ordinary word as a matter of course.
+_SET_AROUND = re.compile(rf"(?:[{re.escape(_AROUND)}!]|(.)\1\1+)*")
 _RUN = re.compile(r"(.)\1+")
 _LONG_RUN = re.compile(r"(.)\1\1")
 
@@ -88,9 +94,10 @@ _LONG_RUN = re.compile(r"(.)\1\1")
 class Model:
     """Log probabilities of a character after two others; terms with the logarithm of
     their density ratio; those that no other text holds; density of terms in toxic texts;
-    and the last layer's offset and two weights."""
+    the last layer's offset and two weights; ``plain`` is as ``chars``, without the terms."""
 
     chars: np.ndarray
+    plain: np.ndarray
     weights: dict[str, float]
     certain: frozenset[str]
     density: float
@@ -152,18 +159,34 @@ def language_model(counts: np.ndarray, terms: list[str]) -> np.ndarray:
     return np.log(three)
 
 
-def restore(token: str, chars: np.ndarray) -> str:
-    """The best reading of a token, by Viterbi over its lattice.
+def closed(token: str) -> str:
+    """The token with each gap as one blank, or as a lone "*", which may be a letter."""
+    return _GAPS.sub(lambda m: "*" if m[0].count("*") == 1 else " ", token)
+
+
+def literal_cost(token: str, chars: np.ndarray) -> float:
+    """Cost of letters read as they stand, gaps as ends of words."""
+    cost, a, b = 0.0, 0, 0
+    for c in token:
+        code = 0 if c == " " else _NUMBER.get(c, 1)
+        cost -= chars[a, b, code]
+        a, b = (b, code) if code else (0, 0)
+    return cost
+
+
+def restore(token: str, chars: np.ndarray, whole: bool = True) -> tuple[str, float]:
+    """The best reading of a closed token and its cost, by Viterbi over its lattice.
 
     A state is the last two characters read; words inside the token end where the
-    model prefers it, at a separator. Characters that have no other reading stay.
+    model prefers it, at a gap or symbol. Characters that have no other reading stay.
+    A part of a token (not ``whole``) need not end a word.
     """
     # State: (code before last, last code) -> (cost, what was read, as a chain of links).
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for at, c in enumerate(token):
         letters = LOOKS_LIKE.get(c, "")
-        ends = c in SEPARATORS and bool(at) and at + 1 < len(token)
+        ends = not c.isalnum() and bool(at) and at + 1 < len(token)
         nexts: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
         def offer(state: tuple[int, int], cost: float, read: tuple | None, into: dict = nexts) -> None:
@@ -178,31 +201,83 @@ def restore(token: str, chars: np.ndarray) -> str:
                 offer((0, 0), cost - row[0], (read, " "))
             if not ends or letters:
                 code = _NUMBER.get(c, 1)
-                if not ends:
+                if not ends or c not in " *":
                     offer((b, code), cost - row[code], (read, c))
                 for letter in letters:
                     code = _NUMBER[letter]
                     offer((b, code), cost + REPLACED - row[code], (read, letter))
-            if read is not None and b > 1 and (c == before or read[1] in letters):
+            if read is not None and b > 1 and (c in (before, read[1]) or read[1] in letters):
                 offer((a, b), cost + REPEATED, read)
-        best, before = nexts, c
-    _, read = min(((cost - chars[a, b][0], read) for (a, b), (cost, read) in best.items()), key=_cost)
+        best = nexts
+        before = before if ends else c
+    cost, read = min(
+        ((cost - whole * chars[a, b][0], read) for (a, b), (cost, read) in best.items()),
+        key=_cost,
+    )
     found = []
     while read is not None:
         read, c = read
         found.append(c)
-    return "".join(reversed(found))
+    return "".join(reversed(found)), float(cost)
 
 
 def _cost(reading: tuple) -> float:
     return reading[0]
 
 
-def squeezed(word: str) -> str:
-    """A word's skeleton: look-alikes as one letter each, runs as one character."""
-    plain = "".join(LOOKS_LIKE.get(c, c)[0] for c in word)
-    return _RUN.sub(r"\1", plain.replace("l", "i"))
+class Spelled:
+    """Whether some path of a token's lattice begins a word with a term.
+
+    Only such tokens are worth the search for the best path: no other reading of a
+    token can hold a term.
+    """
 
+    def __init__(self, terms: Iterable[str]):
+        # Nodes are beginnings of terms.
+        self.follow: dict[str, dict[str, str]] = {"": {}}
+        self.terms = frozenset(terms)
+        for term in self.terms:
+            for n, letter in enumerate(term):
+                self.follow.setdefault(term[:n], {})[letter] = term[: n + 1]
+                self.follow.setdefault(term[: n + 1], {})
+
+    def __call__(self, token: str) -> bool:
+        nodes, before, follow = {""}, "", self.follow
+        for c in token:
+            gap = not c.isalnum()
+            if not nodes and not gap:
+                before = c
+                continue
+            letters = c + LOOKS_LIKE.get(c, "")
+            nexts = set(nodes) if gap else set()
+            for node in nodes:
+                after = follow[node]
+                nexts.update(after[x] for x in letters if x in after)
+                if node and (c == before or node[-1] in letters):
+                    nexts.add(node)
+            if not self.terms.isdisjoint(nexts):
+                return True
+            if gap:
+                nexts.add("")
+            else:
+                before = c
+            nodes = nexts
+        return False
+
+    def end(self, token: str, start: int) -> int:
+        """Where the first term ends that an ordinary token can spell from ``start`` on, or 0."""
+        nodes, before = {""}, ""
+        for at in range(start, len(token)):
+            c = token[at]
+            if c != " ":
+                nexts = {self.follow[node][c] for node in nodes if c in self.follow[node]}
+                nodes = nexts | (nodes - {""} if c == before else set())
+                if not self.terms.isdisjoint(nodes):
+                    return at + 1
+            if not nodes:
+                return 0
+            before = c
+        return 0
 
 
 class Reader:
@@ -210,34 +285,77 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self.skeletons = {squeezed(t): t for t in model.weights}
+        self.spelled = Spelled(model.weights)
+        # Terms that double a letter, without it.
+        self.doubled = {_RUN.sub(r"\1", t): t for t in model.weights if _RUN.search(t)}
         self.words = Table(lambda token: self._terms_in(self._words(token)))
 
     def _core(self, token: str) -> str:
         """The token without what is set around a word, in lower case."""
         core = token.strip(_AROUND)
-        core = core.rstrip("!$|@+*#%&.,;:?")
-        lead = core.lstrip("!$|@+*")
+        core = core.rstrip(_AROUND + "!$|@+")
+        lead = core.lstrip(_AROUND + "!$|@+")
         # One look-alike right before a letter may be the first letter.
         return core[len(core) - len(lead) - 1 :] if 0 < len(core) - len(lead) < 2 else lead
 
+    def _read(self, whole: str) -> list[str] | None:
+        """Words on the best path, if the lattice of a token or stretch can spell a term."""
+        token = closed(whole).strip(" ")
+        if not self.spelled(token):
+            return None
+        if self._is_ordinary(token) and not _APART.fullmatch(whole):
+            return self._ordinary(token)
+        return self._checked(restore(token, self.model.chars)[0].split())
+
+    def _is_ordinary(self, token: str) -> bool:
+        return bool(_ORDINARY.fullmatch(token)) and not _LONG_RUN.search(token)
+
+    def _ordinary(self, token: str) -> list[str]:
+        """Words of a token of letters, read as they stand unless a disguise is far likelier."""
+        start, model = 0, self.model
+        for part in token.split(" "):
+            end = self.spelled.end(token, start)
+            if end > start + len(part) or end and token[start:end] not in model.weights:
+                own = token[start:end]
+                prior = MARKED if own.replace(" ", "") in model.weights else DOUBLED
+                cost = restore(own, model.chars, whole=False)[1]
+                if cost + prior < literal_cost(own, model.plain):
+                    read = restore(token[start:], model.chars)[0].split()
+                    return token[:start].split() + self._checked(read)
+            start += len(part) + 1
+        return token.split(" ")
+
+    def _checked(self, words: list[str]) -> list[str]:
+        """Restored words, with the letters that a term itself doubles."""
+        made = []
+        for word in words:
+            if not self._terms_in([word]):
+                short = _RUN.sub(r"\1", word)
+                lengths = range(SHORTEST, min(len(short), LONGEST) + 1)
+                term, n = next(
+                    ((self.doubled[short[:n]], n) for n in lengths if short[:n] in self.doubled),
+                    ("", 0),
+                )
+                word = term + short[n:] if term else word
+            made.append(word)
+        return made
+
     def _words(self, token: str) -> list[str]:
         """Words that a token without white space is restored to."""
         core = self._core(token)
-        if not core:
-            return []
-        # A reading as a term is better than any other that the lattice allows.
-        for whole in (core, token.strip(_AROUND)):
-            term = self.skeletons.get(squeezed(whole))
-            if term:
-                return [term]
-        if _MIXED.search(core) or _LONG_RUN.search(core) or _APART.search(core):
-            return restore(core, self.model.chars).split()
-        return [core]
+        tried = [core]
+        around = token.replace(core, "", 1) if core else ""
+        if not self._is_ordinary(closed(core)) or not _SET_AROUND.fullmatch(around):
+            # What is set around the word may be letters of it.
+            tried += [token.strip(_AROUND), token]
+        for whole in dict.fromkeys(tried):
+            words = self._read(whole)
+            if words and self._terms_in(words):
+                return words
+        return [core] if core else []
 
     def _spaced(self, spaced: str) -> list[str]:
-        term = self.skeletons.get(squeezed(spaced.translate(_JOIN)))
-        return [term] if term else restore(spaced, self.model.chars).split()
+        return self._read(spaced) or [spaced]
 
     def _terms_in(self, words: list[str]) -> tuple[str, ...]:
         known, lengths = self.model.weights, range(SHORTEST, LONGEST + 1)
@@ -273,6 +391,7 @@ class Reader:
         """Disguised stretches of a text, in order, with what they are restored to."""
         lower = text.lower()
         found = [(m.start(), m[0], " ".join(self._spaced(m[0]))) for m in _APART.finditer(lower)]
+        found = [(at, a, b) for at, a, b in found if a != b]
         for m in re.finditer(r"[^\x20\x09-\x0D]+", lower):
             words = " ".join(self._words(m[0]))
             if words and words != self._core(m[0]):
@@ -339,7 +458,8 @@ def fit(rows: list[tuple[str, int]], counts: np.ndarray) -> Model:
     terms = learn_terms(rows)
     weights = {t: w for t, (w, _) in terms.items()}
     certain = frozenset(t for t, (_, alone) in terms.items() if alone)
-    model = Model(language_model(counts, list(terms)), weights, certain, 0.0, (0.0, 0.0, 0.0))
+    chars, plain = language_model(counts, list(terms)), language_model(counts, [])
+    model = Model(chars, plain, weights, certain, 0.0, (0.0, 0.0, 0.0))
     reader = Reader(model)
     read = [reader.terms(text) for text, _ in rows]
     toxic = [r for r, (_, label) in zip(read, rows, strict=True) if label]

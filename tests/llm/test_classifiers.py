@@ -166,3 +166,34 @@ def test_long_disguised_words_take_time_in_proportion(reader):
 def test_undisguised_words(reader, text):
     found, n = reader.terms(text)
     assert not found and reader.score(found, n) < 0.5
+
+
+MORE_DISGUISES = {
+    "i d ! o t": "idiot", "$ t u p i d": "stupid", "i/d/i/o/t": "idiot", "i,d,i,o,t": "idiot", "i|d|i|o|t": "idiot",
+    "i     d\n\ni     o \t t": "idiot", "id-iot": "idiot", "stu.pid": "stupid", "lo-ser": "loser", "idiiots": "idiot",
+    "stuppid": "stupid", "pathettic": "pathetic", "worrthless": "worthless", "s c u m": "scum", "s. c. u. m!": "scum",
+    "i*d*i*o*t": "idiot", "m o r 0 n": "moron",
+}
+
+
+@pytest.mark.parametrize("text", MORE_DISGUISES)
+def test_more_disguised_words(reader, text):
+    found, n = reader.terms(f"and the {text} of it")
+    assert MORE_DISGUISES[text] in found and reader.score(found, n) > 0.5
+
+
+@pytest.mark.parametrize("text", ["looser", "Looser,", "(looser)!", "looser###", "looses", "trass", "los-er", "i.e. idle", "7 , 5 , 3"])
+def test_words_that_only_look_like_terms(reader, text):
+    found, n = reader.terms(f"a {text} fit")
+    assert not found and reader.score(found, n) < 0.5
+
+
+def test_words_of_three_letters_set_apart():
+    rows = [(f"text {i} " + ("oaf " if i % 2 else "fine "), i % 2) for i in range(200)]
+    reader = toxicity.Reader(toxicity.fit(rows, np.ones(toxicity._SIZE**3, dtype=np.int64)))
+    assert "oaf" in reader.terms("o a f")[0] and "oaf" in reader.terms("0/@/f")[0]
+
+
+def test_adverse_texts_take_time_in_proportion(reader):
+    for text in ("a*" * 100000, "los-" * 60000, "aa-" * 60000, "i!d!" * 50000, "x" + "-" * 200000 + " y"):
+        assert not reader.terms(text)[0]
