@@ -27,12 +27,27 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; documents without an id stay.
+    """One document of each group of near duplicates: the one of the smallest id.
 
-    Rows that share an id are one document and stay or go together.
+    Rows are told apart by a number of their own, so those that share an id or have none
+    are reduced to one like any others. Texts without words stay.
     """
-    gone = sketches.near_duplicates(docs, SIMILAR).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    numbered = stored(docs.select(row, F.monotonically_increasing_id().alias("number")))
+    texts = numbered.select("number", F.col("row.text").alias("text"))
+    found = sketches.near_duplicates(texts, SIMILAR, "number").filter("not kept")
+    others = stored(found.select(F.col("doc_id").alias("number"), "component_id"))
+    lowest = others.select("component_id").distinct()
+    members = others.union(lowest.select(F.col("component_id").alias("number"), "component_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")
+    stay = (
+        members.join(numbered.select("number", "row.doc_id"), "number")
+        .groupBy("component_id")
+        .agg(F.min(key).alias("first"))
+        .select("first.number")
+    )
+    gone = members.join(stay, "number", "left_anti").select("number")
+    return numbered.join(gone, "number", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,11 @@ def test_near_duplicates_against_all_pairs_at_80_per_cent(spark):
                 parent[max(x, y)] = min(x, y)
     made = corpus_pipeline.without_near_duplicates(spark, docs, FOLDER)
     assert {r.doc_id for r in made.collect()} == {i for i in parent if find(parent, i) == i}
+
+
+def test_repeated_rows_and_rows_without_an_id_are_reduced(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, one), (None, one), (3, one), (None, two), (None, two), (7, "own " + two[:90]), (7, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = corpus_pipeline.without_near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id, r.text) for r in made) == [(3, one), (7, two), (7, "own " + two[:90])]
