@@ -9,7 +9,20 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import convnet, counts, ids, lattice, packing, prefixes, rules, sketches, sql, toxicity, urls
+from . import (
+    convnet,
+    counts,
+    ids,
+    lattice,
+    packing,
+    prefixes,
+    rules,
+    sketches,
+    sql,
+    toxicity,
+    urls,
+    whitening,
+)
 from .settings import PACKING_END, POLICY, TOXIC, table, vocabulary
 
 URL_RULES = [
@@ -96,6 +109,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_network": op8_byte_network,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
