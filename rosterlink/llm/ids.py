@@ -49,17 +49,18 @@ def write_ids(
     """Encode whole texts and write them in ascending order of ids.
 
     Texts, not ids, are shuffled, once, by ranges of ids; each range is sorted, encoded
-    and written as it stands. Null ids come first. Rows with the same id stay next to
-    each other, in the order of their texts.
+    and written as it stands. Null ids come first. Rows with the same id stay next to each other,
+    in the order of the first 64 characters, then of a hash of their texts; equal rows may
+    lie in several ranges, so that no id makes a large one.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, encode_text = TaskContext.get().partitionId(), 0, encoder(tokenizer, MOST_KEPT).ids
+        part, start, encode_texts = TaskContext.get().partitionId(), 0, encoder(tokenizer, MOST_KEPT).batch
         end = end_id.to_bytes(4, "little")
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)
-                ids = [encode_text(x.as_py() or "") + end for x in batch.column(1)]
+                ids = [x + end for x in encode_texts([x.as_py() or "" for x in batch.column(1)])]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
@@ -77,9 +78,15 @@ def write_ids(
                 )
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text"))
-    ordered = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, _FILE).write.options(**WRITER).parquet(path)
+    narrow = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.col("text"),
+        F.substring("text", 1, 64).alias("_top"),
+        F.xxhash64("text").alias("_hash"),
+    ).withColumn("_deal", F.monotonically_increasing_id() % 1024)
+    order = ["doc_id", "_top", "_hash", "_deal"]
+    ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(encode, _FILE).write.options(**WRITER).parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -35,11 +35,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, encode_text = TaskContext.get().partitionId(), 0, encoder(tokenizer).ids
+        part, start, encode_texts = TaskContext.get().partitionId(), 0, encoder(tokenizer).batch
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)
-                ids = [encode_text(x.as_py() or "") + end for x in batch.column(1)]
+                ids = [x + end for x in encode_texts([x.as_py() or "" for x in batch.column(1)])]
                 counts = [len(x) // 4 for x in ids]
                 starts = []
                 for n in counts:

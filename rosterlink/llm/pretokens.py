@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 # Code points whose categories, lower case and composition no Unicode version has
 # changed: Latin letters, and the usual dashes, quotes and dots. Texts that hold
@@ -20,7 +20,7 @@ _OTHER = re.compile("[^\\x00-\\u017f\\u2010-\\u2027]")
 # Unicode white space among them.
 SPACE = "\\t-\\r \\x85\\xa0"
 
-# A worker's table is emptied when it holds so many pre-tokens (about 230 bytes each).
+# A worker's table holds about so many pre-tokens (about 230 bytes each).
 MOST_KEPT = 400_000
 
 
@@ -51,23 +51,42 @@ def is_plain(text: str) -> bool:
 
 
 class Table(dict):
-    """What each pre-token becomes, made when first asked for."""
+    """What each pre-token becomes, made when first asked for.
+
+    Entries that were not asked for while ``most / 2`` others came in are dropped.
+    """
 
     def __init__(self, make: Callable[[str], bytes], most: int = MOST_KEPT):
         super().__init__()
         self.make, self.most = make, most
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def __missing__(self, piece: str) -> bytes:
-        made = self[piece] = self.make(piece)
+        made = self.older.get(piece)
+        if made is None:
+            made = self.make(piece)
+        self[piece] = made
         return made
 
+    def fill(self, pieces: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
+        """Enter all of ``pieces``; those that are new are made in one call."""
+        new = [p for p in pieces if p not in self]
+        older = self.older
+        missing = [p for p in new if p not in older]
+        self.update((p, older[p]) for p in new if p in older)
+        self.update(zip(missing, make(missing), strict=True))
+        self.long += [p for p in missing if len(p) > 100]
+
+    def drop_long(self, longest: int) -> None:
+        """Forget new entries of more than ``longest`` characters."""
+        for piece in self.long:
+            if len(piece) > longest:
+                self.pop(piece, None)
+        self.long.clear()
+
     def tidy(self) -> None:
         """Keep memory bounded; only time is lost."""
-        if len(self) > self.most:
+        if len(self) > self.most // 2:
+            self.older = dict(self)
             self.clear()
-
-
-def texts_of(batch, column: str = "text") -> Iterator[str]:
-    """Texts of an Arrow batch one at a time; null counts as empty."""
-    for value in batch.column(batch.schema.get_field_index(column)):
-        yield value.as_py() or ""

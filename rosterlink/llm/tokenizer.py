@@ -6,6 +6,7 @@ import functools
 import os
 import sys
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -13,41 +14,69 @@ from .pretokens import MOST_KEPT, Table, byte_level_pattern, is_plain, word_patt
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
+# Pre-tokens longer than this (characters) are not kept in the table.
+LONGEST_KEPT = 100
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+
 
 class TextEncoder:
     """Ids of whole texts, equal to what the library returns for them.
 
-    Plain texts (see ``pretokens.PLAIN``) are cut by the vocabulary's own split and
-    each distinct pre-token is encoded by the library once per worker. Any other text
-    goes to the library as it is. Special tokens' strings are ordinary text.
+    Plain texts (see ``pretokens.PLAIN``) are cut by the vocabulary's own split and each distinct
+    pre-token is encoded by the library once per worker, those that a batch lacks in one call. Any other text, and
+    one that holds the string of an added token, goes to the library as it is. With ``special_as_text``
+    such strings are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = MOST_KEPT):
+    def __init__(self, path: str, most: int = MOST_KEPT, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special_as_text
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [] if special_as_text else [t.content.lower() for t in added]
         self.lower = self.library.normalizer is not None
         self.cut = (word_pattern() if self.lower else byte_level_pattern()).findall
-        self.table = Table(self._whole, most)
+        self.table = Table(lambda piece: self._whole([piece])[0], most)
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        made = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [packed(x.ids) for x in made]
 
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
+    def _pieces(self, text: str) -> list[str] | None:
         if not is_plain(text):
-            return self._whole(text)
-        pieces = self.cut(text.lower() if self.lower else text)
-        self.table.tidy()
-        return b"".join(map(self.table.__getitem__, pieces))
+            return None
+        if self.lower or (self.added and "<" in text):
+            lower = text.lower()
+            if any(t in lower for t in self.added):
+                return None
+            text = lower if self.lower else text
+        return self.cut(text)
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self._pieces(text) for text in texts]
+        table = self.table
+        table.tidy()
+        table.fill(set(chain.from_iterable(c for c in cut if c)), self._whole)
+        get = table.__getitem__
+        made = [b"" if c is None else b"".join(map(get, c)) for c in cut]
+        for i, c in enumerate(cut):
+            if c is None:
+                made[i] = self._whole([texts[i]])[0]
+        table.drop_long(LONGEST_KEPT)
+        return made
+
+    def ids(self, text: str) -> bytes:
+        return self.batch([text])[0]
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, most: int = MOST_KEPT) -> TextEncoder:
+def encoder(path: str, most: int = MOST_KEPT, special_as_text: bool = False) -> TextEncoder:
     """One encoder per file and Python worker."""
-    return TextEncoder(path, most)
+    return TextEncoder(path, most, special_as_text)

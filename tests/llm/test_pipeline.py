@@ -43,9 +43,8 @@ def test_run(spark):
         )
 
     left = {i: t for i, t in left.items() if good(t)}
-    left = {r[1]: left[r[1]] for r in components_of(list(left.items())) if r[5]}
+    left = {r[1]: left[r[1]] for r in components_of(list(left.items()), 80) if r[5]}
     lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     tokens = {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}
     made = corpus_pipeline.run(spark, FOLDER).collect()
     got = {}

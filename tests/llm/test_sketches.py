@@ -22,7 +22,7 @@ def find(parent, x):
     return x
 
 
-def expected(rows):
+def expected(rows, percent=85):
     """Components by id; rows without id or text link with nothing."""
     usable = [(i, grams(t)) for i, t in rows if i is not None and grams(t)]
     parent = {i: i for i, _ in rows if i is not None}
@@ -30,7 +30,7 @@ def expected(rows):
         for b in range(a):
             (i, s), (j, t) = usable[a], usable[b]
             n = len(s & t)
-            if 100 * n >= 85 * (len(s) + len(t) - n):
+            if 100 * n >= percent * (len(s) + len(t) - n):
                 x, y = find(parent, i), find(parent, j)
                 parent[max(x, y)] = min(x, y)
     made = []

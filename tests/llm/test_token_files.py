@@ -28,14 +28,13 @@ TEXTS = [
     (9, "Ünïcödé — “quoted” … 漢字 Ω ΣΑΣ İstanbul é \x1c\x1f\x85\xa0x  y"),
     (7, "word " * 5000),
     (3, "<|endoftext|> 'S 'll"),
+    (5, "a <|endoftext|> b <|startoftext|> c <|ENDOFTEXT|><|endoftext|"),
 ]
 
 
 @functools.cache
 def library(path):
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 @pytest.fixture
