@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (
+    alignment,
     convnet,
     counts,
     ids,
@@ -109,6 +110,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return alignment.align(
+        documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    ).select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        "groups_sha256",
+    )
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -124,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_network": op8_byte_network,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_alignment": op11_alignment,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
