@@ -19,6 +19,7 @@ from . import (
     prefixes,
     rules,
     sketches,
+    spans,
     sql,
     toxicity,
     urls,
@@ -126,6 +127,10 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.without_repeats(table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_alignment": op11_alignment,
+    "op12_repeated_spans": op12_repeated_spans,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }

@@ -18,9 +18,9 @@ def test_query_equals_sql(spark, folder, name):
     assert difference(spark, connection(folder), folder, name) == ""
 
 
-def test_ten_operators_and_the_pipeline():
+def test_all_operators_and_the_pipeline():
     numbers = sorted(int(q[2:].split("_")[0]) for q in QUERIES if q != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_url_filter_runs_no_python(spark):
