@@ -25,8 +25,10 @@ from .operators.filters import (
 from .operators.lookup import PERSON, lookup, status, summary
 from .operators.nearest import link_by_name, link_count
 from .operators.ranking import numbered
-from .plans import ordered, reconcile_attempts, submit, view
+from .plans import ordered, read_once, reconcile_attempts, submit, submit_once, view
+from .plans.submit import submitted
 from .plans.view import with_official
+from .sinks.commits import stage
 from .sinks.export import HEADER, export_lines, write_export
 from .sinks.payload import payloads, refused
 from .sinks.register import read_register, register_rows, rejected_payloads, replies
@@ -53,7 +55,6 @@ INSTRUCTION = "Extrae una sola tabla."
 FACETS = {"ocupacion": ["1-URGENT", "2-HIGH"], "area": ["O", "F"]}
 ROSTER_TEXT = " 0011 "
 PER_PAYLOAD = 1000
-ID_SHAPE = "^x[0-9A-Z]{1,6}$"
 
 
 def query(function: Query) -> Query:
@@ -373,8 +374,7 @@ def _sent(spark, folder):
 @query
 def q_payload_roundtrip(spark, folder):
     """Stored payloads read back to register rows."""
-    rows = register_rows(_sent(spark, folder))
-    return rows.withColumn("Id", F.col("Id").rlike(ID_SHAPE))
+    return register_rows(_sent(spark, folder))
 
 
 @query
@@ -393,7 +393,19 @@ def q_submit_register(spark, folder):
     """A filtered view submitted, and the register read back."""
     path = f"{shared_folder(spark)}/register-{uuid.uuid4().hex}"
     submit(view(*_rows(spark, folder), facets={"area": ["O", "F"]}), F.col("ocupacion"), path)
-    return read_register(spark, path).withColumn("Id", F.col("Id").rlike(ID_SHAPE))
+    return read_register(spark, path)
+
+
+@query
+def q_submit_once(spark, folder):
+    """Two submissions, both run again, and attempts that were cut off: each participant once."""
+    path = f"{shared_folder(spark)}/register-{uuid.uuid4().hex}"
+    rows, roster = _rows(spark, folder)
+    for area in ("O", "F", "O", "F"):
+        shown = view(rows, roster, facets={"area": [area]})
+        stage(submitted(shown, F.concat("ocupacion", F.lit(" "), "area")), path)
+        submit_once(shown, F.concat("ocupacion", F.lit(" "), "area"), path)
+    return read_once(spark, path)
 
 
 @query

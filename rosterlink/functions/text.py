@@ -91,7 +91,30 @@ def single_line_base64(content: Column) -> Column:
     return F.regexp_replace(F.base64(content), "\r\n", "")
 
 
-def participant_id(id_ref: Column, seq: Column) -> Column:
-    """``x`` and up to six base-36 characters, the same on every run."""
-    number = F.pmod(F.xxhash64(id_ref, seq), F.lit(36**6))
+# Identity numbers of participants: up to six base-36 characters, in two halves of three.
+ID_HALF = 36**3
+ID_ROUNDS = 4
+
+
+def participant_id(id_ref: Column, position: Column) -> Column:
+    """``x`` and up to six base-36 characters from the place (from 1) in a reference.
+
+    A Feistel permutation of the numbers below 36^6, keyed by the reference: places of one
+    reference never share an id (up to 36^6 of them), and a repeated run gives the same ids.
+    """
+    place = F.pmod(position.cast("long") - 1, F.lit(ID_HALF**2))
+    low = F.pmod(place, F.lit(ID_HALF))
+    halves = F.struct(((place - low) / ID_HALF).cast("long").alias("left"), low.alias("right"))
+    digest = F.md5(id_ref.cast("binary"))
+    keys = F.array(
+        *(F.conv(F.substring(digest, 1 + 5 * r, 5), 16, 10).cast("long") for r in range(ID_ROUNDS))
+    )
+
+    def turned(now: Column, key: Column) -> Column:
+        x = now["right"] + key
+        mixed = F.pmod(x * x * 48271 + x * 69621, F.lit(2**31 - 1))
+        right = F.pmod(now["left"] + mixed, F.lit(ID_HALF))
+        return F.struct(now["right"].alias("left"), right.alias("right"))
+
+    number = F.aggregate(keys, halves, turned, lambda now: now["left"] * ID_HALF + now["right"])
     return F.concat(F.lit("x"), F.conv(number.cast("string"), 10, 36))

@@ -96,6 +96,26 @@ PEOPLE = (
     "ocupacion AS IdRef, upper(m_dni) AS ParticipanteDNI, upper(m_nombre) AS Participante, "
     "upper(m_cargo) AS Cargo, upper(m_area) AS Area"
 )
+# Digits of the identity numbers.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _with_ids(people: str) -> str:
+    """Register rows of ``people``: their ``pos`` in ``IdRef`` goes through four Feistel rounds."""
+    text = f"SELECT *, (pos - 1) // 46656 AS l, (pos - 1) % 46656 AS r, md5(IdRef) AS h FROM ({people})"
+    for first in (1, 6, 11, 16):
+        text = f"SELECT *, r + CAST(concat('0x', substr(h, {first}, 5)) AS BIGINT) AS x FROM ({text})"
+        text = (
+            "SELECT * EXCLUDE (l, r, x), r AS l, "
+            f"(l + (x * x * 48271 + x * 69621) % 2147483647) % 46656 AS r FROM ({text})"
+        )
+    digits = ", ".join(f"substr('{DIGITS}', CAST(n // {36**i} % 36 + 1 AS INT), 1)" for i in range(5, -1, -1))
+    return (
+        f"SELECT concat('x', CASE n WHEN 0 THEN '0' ELSE ltrim(concat({digits}), '0') END) AS Id, "
+        f"IdRef, ParticipanteDNI, Participante, Cargo, Area FROM (SELECT *, l * 46656 + r AS n FROM ({text}))"
+    )
+
+
 REFUSED = '{"success":false,"message":"payload without participants"}'
 HAS_FACETS = "ocupacion IN ('1-URGENT', '2-HIGH') AND area IN ('O', 'F')"
 ANSWER_HEADER = "Nro;Apellidos y Nombres;DNI;Ocupacion;Area;SourceFile"
@@ -191,14 +211,24 @@ QUERIES = {
     f"WHERE estado = 'OK' AND {HAS_TEXT} AND {HAS_FACETS}",
     "export_files": f"SELECT '{EXPORT_HEADER}' AS line UNION ALL "
     f"SELECT {LINE} FROM vista WHERE estado = 'OK' AND {HAS_FACETS}",
-    "payload_roundtrip": f"SELECT true AS Id, {PEOPLE} FROM vista WHERE estado = 'OK'",
+    "payload_roundtrip": _with_ids(
+        f"SELECT {PEOPLE}, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS pos FROM vista WHERE estado = 'OK'"
+    ),
     "payload_parts": "SELECT IdRef, 1 + (nth - 1) // 1000 AS parte, count(*) AS participantes, "
     """concat('{"IdRef":"', IdRef, '","participantes":[', """
     """string_agg(concat('{"Id":"x","ParticipanteDNI":"', ParticipanteDNI, '","Participante":"', Participante, """
     """'","Cargo":"', Cargo, '","Area":"', Area, '"}'), ',' ORDER BY nth), ']}') AS payload FROM """
     f"(SELECT {PEOPLE}, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS nth "
     "FROM vista WHERE estado = 'OK') GROUP BY 1, 2",
-    "submit_register": f"SELECT true AS Id, {PEOPLE} FROM vista WHERE estado = 'OK' AND area IN ('O', 'F')",
+    "submit_register": _with_ids(
+        f"SELECT {PEOPLE}, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS pos FROM vista "
+        "WHERE estado = 'OK' AND area IN ('O', 'F')"
+    ),
+    "submit_once": _with_ids(
+        f"SELECT * REPLACE (concat(IdRef, ' ', area_) AS IdRef) FROM (SELECT {PEOPLE}, area AS area_, "
+        "row_number() OVER (PARTITION BY ocupacion, area ORDER BY seq) AS pos FROM vista "
+        "WHERE estado = 'OK' AND area IN ('O', 'F'))"
+    ),
     "submit_refused": "SELECT seq, dni FROM vista_refs WHERE estado = 'OK' AND ocupacion = ''",
     "register_rows": "SELECT 'x1' AS Id, concat('R', CAST(doc_id AS VARCHAR)) AS IdRef, "
     "CAST(doc_id AS VARCHAR) AS ParticipanteDNI, source AS Participante, 'C' AS Cargo, '' AS Area "

@@ -1,7 +1,7 @@
 """The jobs a user runs, composed of the operators."""
 
 from .reconcile import extract, reconcile, reconcile_attempts
-from .submit import submit
+from .submit import read_once, submit, submit_once
 from .view import ordered, view
 
-__all__ = ["extract", "ordered", "reconcile", "reconcile_attempts", "submit", "view"]
+__all__ = ["extract", "ordered", "read_once", "reconcile", "reconcile_attempts", "submit", "submit_once", "view"]

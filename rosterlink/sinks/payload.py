@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.text import known, participant_id
 from ..operators.filters import sort_order
-from ..operators.lookup import is_matched
+from ..operators.lookup import PERSON, is_matched
 from ..operators.ranking import numbered
 
+# Fixed value: the fields of a participant, in order.
+PARTICIPANT = ["Id", "ParticipanteDNI", "Participante", "Cargo", "Area"]
 
-def participants(view: DataFrame, id_ref: Column) -> DataFrame:
-    """One row per matched row of the view; see :func:`refused` for rows without ``id_ref``."""
-    return (
-        view.withColumn("IdRef", known(id_ref))
-        .filter((F.col("IdRef") != "") & is_matched())
-        .withColumn(
-            "participante",
-            F.struct(
-                participant_id(F.col("IdRef"), F.col("seq")).alias("Id"),
-                F.upper(known(F.col("oficial.dni"))).alias("ParticipanteDNI"),
-                F.upper(known(F.col("oficial.nombre"))).alias("Participante"),
-                F.upper(known(F.col("oficial.cargo"))).alias("Cargo"),
-                F.upper(known(F.col("oficial.area"))).alias("Area"),
-            ),
+
+def participants(
+    view: DataFrame, id_ref: Column, sort: str | None = None, direction: str = "asc"
+) -> DataFrame:
+    """One row per matched row of the view: ``IdRef``, ``pos`` (its place in the reference, in
+    view order) and ``participante``; see :func:`refused` for rows without ``id_ref``.
+
+    Ids come from places, so they are unique inside a reference.
+    """
+    named = view.withColumn("IdRef", known(id_ref)).filter((F.col("IdRef") != "") & is_matched())
+    person = F.struct(
+        *(
+            F.upper(known(F.col(f"oficial.{c}"))).alias(name)
+            for c, name in zip(PERSON, ("ParticipanteDNI", "Participante", "Cargo", "Area"), strict=True)
         )
     )
+    kept = ["IdRef", person.alias("persona"), "seq"] + ([sort] if sort else [])
+    placed = numbered(named.select(*kept), sort_order(sort, direction), ["IdRef"])
+    own_id = participant_id(F.col("IdRef"), F.col("pos")).alias("Id")
+    return placed.select(
+        "IdRef", "pos", F.struct(own_id, *(F.col(f"persona.{c}") for c in PARTICIPANT[1:])).alias("participante")
+    )
 
 
 def refused(view: DataFrame, id_ref: Column) -> DataFrame:
@@ -48,9 +56,7 @@ def payloads(
     order: a payload is one value, so its size must have a bound, which the
     caller states. A reference without participants has no payload.
     """
-    listed = participants(view, id_ref)
-    kept = ["IdRef", "participante", "seq"] + ([sort] if sort else [])
-    placed = numbered(listed.select(*kept), sort_order(sort, direction), ["IdRef"])
+    placed = participants(view, id_ref, sort, direction)
     part = ((F.col("pos") - 1) / per_payload).cast("long") + 1
     ordered = F.array_sort(F.collect_list(F.struct("pos", "participante")))
     return (
