@@ -10,19 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlink.durable import stored
+from rosterlink.durable import only_last_stored, stored
 from rosterlink.llm import packing, rules, sketches, toxicity
 from rosterlink.llm.settings import PACKING_END, POLICY, SIMILAR, TOXIC, table, vocabulary
+from rosterlink.operators.bitmaps import as_bitmaps, with_membership
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text is not toxic; learned from the labels in ``sf_dir``."""
+    """Documents whose restored text is not toxic; learned from the labels in ``sf_dir``.
+
+    A null or empty text is not toxic. Each row is judged by itself, also one that repeats or has
+    no id; all columns stay as they are; no rows give no rows.
+    """
     model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
     return toxicity.reads(model, docs).filter(F.col("score") < TOXIC).select("row.*")
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy does not reject."""
+    """Documents that the quality policy does not reject.
+
+    A null or empty text has too few words and goes. Each row is judged by itself, also one that repeats or
+    has no id; all columns stay as they are; no rows give no rows.
+    """
     return rules.ledger(docs).filter(~rules.fails(POLICY)).select("row.*")
 
 
@@ -30,7 +39,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """One document of each group of near duplicates: the one of the smallest id.
 
     Rows are told apart by a number of their own, so those that share an id or have none
-    are reduced to one like any others. Texts without words stay.
+    are reduced to one like any others. Texts without words stay. Which rows go is a set of bitmaps of
+    their numbers, so the rows that stay are not moved.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     numbered = stored(docs.select(row, F.monotonically_increasing_id().alias("number")))
@@ -46,12 +56,16 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         .agg(F.min(key).alias("first"))
         .select("first.number")
     )
-    gone = members.join(stay, "number", "left_anti").select("number")
-    return numbered.join(gone, "number", "left_anti").select("row.*")
+    gone = stored(as_bitmaps(members.join(stay, "number", "left_anti"), "number"))
+    return with_membership(numbered, "number", gone, "gone").filter("not gone").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4,096 ids."""
+    """Pieces of the documents in sequences of 4,096 ids.
+
+    A null or empty text is its end id alone. Each row is packed by itself, also one that repeats or has no
+    id; other columns are left out; no rows give no pieces.
+    """
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), PACKING_END).drop("ids")
 
 
@@ -67,8 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder.
+
+    A stage's own tables are deleted when its result is stored; those of the last stage stay, as
+    its result is read from them.
+    """
     rows = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        rows = stored(stage(spark, rows, sf_dir))
+        with only_last_stored(spark):
+            rows = stored(stage(spark, rows, sf_dir))
     return STAGES[-1][1](spark, rows, sf_dir)

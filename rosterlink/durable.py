@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: list[str] = []
 
 
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_stored(spark: SparkSession) -> int:
     """Delete the tables that :func:`stored` has written so far; returns their number.
 
@@ -33,12 +40,23 @@ def remove_stored(spark: SparkSession) -> int:
     """
     made = 0
     while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        made += bool(files.delete(path, True))
+        made += bool(_delete(spark, _MADE.pop()))
     return made
 
 
+@contextmanager
+def only_last_stored(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that :func:`stored` writes inside the block, but for the last one.
+
+    For a step whose result is stored at the end of the block.
+    """
+    before = len(_MADE)
+    yield
+    for name in _MADE[before:-1]:
+        _delete(spark, name)
+    del _MADE[before:-1]
+
+
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """Run ``df`` once and go on from a table in the shared folder.
 
