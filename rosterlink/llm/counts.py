@@ -25,8 +25,10 @@ ROWS_AT_ONCE = 1000
 # What the vocabulary writes for a space.
 MARK = "▁"
 
-# A worker's trie is emptied when it has so many nodes (about 300 bytes each).
+# A worker's trie drops its nodes when it has so many (about 300 bytes each), and the counts of
+# words not met while so many others came in. Frequent words thus keep theirs.
 MOST_NODES = 1_000_000
+MOST_WORDS = 300_000
 
 # A character that no piece covers costs so much for each of its bytes, and so many tokens.
 BYTE_SCORE = -20.0
@@ -54,15 +56,22 @@ class Trie:
     """Nodes by number: the root is 0. ``score`` and ``count`` are those of the best
     segmentation of the characters from the root to the node."""
 
-    def __init__(self, scores: dict[str, float], most: int = MOST_NODES):
-        self.scores, self.most = scores, most
-        self.longest = max(map(len, scores), default=1)
+    def __init__(self, scores: dict[str, float], most: int = MOST_NODES, most_words: int = MOST_WORDS):
+        self.most, self.most_words = most, most_words
+        # The pieces from their last character back, so that only those are tried that end at a place.
+        self.backward: dict = {}
+        for piece, own in scores.items():
+            at = self.backward
+            for character in reversed(piece):
+                at = at.setdefault(character, {})
+            at[""] = own
+        self.terminal: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.score, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """Tokens of a word; only nodes that are new are computed."""
@@ -70,36 +79,53 @@ class Trie:
         for end, character in enumerate(word, 1):
             below = child.get((node, character))
             if below is None:
-                best = self._best(word, end, path)
+                best, tokens = self._best(word, end, path)
                 below = child[node, character] = len(self.score)
-                self.score.append(best[0])
-                self.count.append(-best[1])
+                self.score.append(best)
+                self.count.append(tokens)
             node = below
             path.append(node)
         self.terminal[word] = self.count[node]
         return self.count[node]
 
     def _best(self, word: str, end: int, path: list[int]) -> tuple[float, int]:
-        """Best score and, at equal scores, fewest tokens (negative) up to ``end``."""
-        size = len(word[end - 1].encode())
+        """Best score and, at equal scores, fewest tokens up to ``end``."""
+        score, count = self.score, self.count
+        character = word[end - 1]
+        size = 1 if character < "\x80" else len(character.encode())
         before = path[end - 1]
-        best = (self.score[before] + size * BYTE_SCORE, -self.count[before] - size)
-        for begin in range(max(0, end - self.longest), end):
-            own = self.scores.get(word[begin:end])
+        best, tokens = score[before] + size * BYTE_SCORE, count[before] + size
+        begin, at = end, self.backward
+        while begin:
+            begin -= 1
+            at = at.get(word[begin])
+            if at is None:
+                break
+            own = at.get("")
             if own is not None:
                 before = path[begin]
-                best = max(best, (self.score[before] + own, -self.count[before] - 1))
-        return best
+                own += score[before]
+                if own > best or (own == best and count[before] + 1 < tokens):
+                    best, tokens = own, count[before] + 1
+        return best, tokens
 
     def counts(self, words: list[str]) -> int:
         """Tokens of all words of a text."""
-        known = self.terminal
+        known, older = self.terminal, self.older
         total = 0
         for word in words:
             n = known.get(word)
-            total += self.insert(word) if n is None else n
+            if n is None:
+                n = older.get(word)
+                if n is None:
+                    n = self.insert(word)
+                else:
+                    known[word] = n
+            total += n
         if len(self.score) > self.most:
             self.clear()
+        if len(known) > self.most_words:
+            self.older, self.terminal = known, {}
         return total
 
 

@@ -59,7 +59,6 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
         # Tokens that merging reaches, with the pair whose merge makes them. Others
         # stand only for a piece that they equal as a whole.
         self.made_of: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -67,6 +66,11 @@ class PrefixEncoder:
             parts, last = merged(ranks, token)
             if len(parts) == 1:
                 self.made_of[token] = last
+        # Lengths that tokens with these last two bytes have, longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.made_of:
+            lengths.setdefault(token[-2:], set()).add(len(token))
+        self.lengths = {k: sorted(v | {1}, reverse=True) for k, v in lengths.items()}
         self.ends: dict[tuple[bytes, int], list] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
@@ -113,9 +117,12 @@ class PrefixEncoder:
         ``last[i]`` is the last token of the first ``i + 1`` bytes. To append bytes,
         pass the table so far; after an edit, pass the part before the edit.
         """
-        made_of, fits = self.made_of, self.fits
+        made_of, fits, lengths, single = self.made_of, self.fits, self.lengths, [1]
         for end in range(len(last) + 1, len(text) + 1):
-            for begin in range(max(0, end - self.longest), end):
+            for length in lengths.get(text[max(0, end - 2) : end], single):
+                begin = end - length
+                if begin < 0:
+                    continue
                 token = text[begin:end]
                 if token in made_of and (begin == 0 or fits(last[begin - 1], token)):
                     last.append(token)

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import (
     alignment,
     convnet,
@@ -149,7 +147,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_alignment": op11_alignment,
     "op12_repeated_spans": op12_repeated_spans,
     "op13_whitening": op13_whitening,
-    "pipeline": corpus_pipeline.run,
 }
 
 # SQL of those that SQL can express.

@@ -95,3 +95,35 @@ def test_repeated_rows_and_rows_without_an_id_are_reduced(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     made = corpus_pipeline.without_near_duplicates(spark, docs, FOLDER).collect()
     assert sorted((r.doc_id, r.text) for r in made) == [(3, one), (7, two), (7, "own " + two[:90])]
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "one two", 1), (None, "one two", 1), (4, None, 2), (4, "", 2), (5, "x " * 9000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int")
+    made = corpus_pipeline.packed(spark, docs, FOLDER).collect()
+    lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = sorted((i is None, i or 0, len(lib.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+    whole = sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens) for r in made if r.start == 0)
+    assert whole == want
+    assert sum(r.length for r in made) == sum(n for _, _, n in want)
+    assert corpus_pipeline.packed(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_first_stages_with_odd_rows(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, None), (2, ""), (None, good), (None, good), (3, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, FOLDER).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(rows, key=repr)
+    kept = stages["quality rules"](spark, docs, FOLDER).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(rows[2:], key=repr)
+
+
+def test_work_tables_are_deleted(spark, monkeypatch):
+    from rosterlink import durable
+
+    durable.remove_stored(spark)
+    corpus_pipeline.run(spark, FOLDER).count()
+    # One result of each stage but the last, and the encoded documents of the last.
+    assert durable.remove_stored(spark) == len(corpus_pipeline.STAGES)

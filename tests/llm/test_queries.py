@@ -2,9 +2,11 @@
 
 from pathlib import Path
 
+import __spark_entry__
 import pytest
 from compare import connection, difference
 
+import corpus_pipeline
 from rosterlink.llm.queries import QUERIES, SQL
 
 FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
@@ -19,8 +21,9 @@ def test_query_equals_sql(spark, folder, name):
 
 
 def test_all_operators_and_the_pipeline():
-    numbers = sorted(int(q[2:].split("_")[0]) for q in QUERIES if q != "pipeline")
-    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
+    registered = __spark_entry__.queries()
+    assert QUERIES.items() <= registered.items() and registered["pipeline"] is corpus_pipeline.run
 
 
 def test_url_filter_runs_no_python(spark):
