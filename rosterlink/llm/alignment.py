@@ -21,7 +21,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from rosterlink.durable import stored
 from rosterlink.operators.joins import lookup_join
 
 from .pretokens import MOST_KEPT, Table
-from .tokenizer import LONGEST_KEPT, encoder, packed
+from .tokenizer import encoder, packed
 
 # Bytes that one pair of pointers walks over.
 STRETCH = 512
@@ -91,7 +90,7 @@ class ByteSide:
     """A byte-level vocabulary of the tokenizers library, over the text with a space before it."""
 
     def __init__(self, path: str):
-        self.encoder = encoder(path, MOST_KEPT // 2, True)
+        self.encoder = encoder(path, MOST_KEPT, True)
         letters = _byte_letters()
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)
@@ -100,9 +99,13 @@ class ByteSide:
         for token, i in ids.items():
             if all(c in letters for c in token):
                 self.bytes_of[i] = bytes(letters[c] for c in token)
+        # With every byte in the vocabulary and nothing changed before, tokens make up their text.
+        whole = set(map(bytes, ([b] for b in range(256)))) <= set(self.bytes_of)
+        self.lossless = whole and vocabulary["normalizer"] is None
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return self.encoder.batch([" " + t for t in texts])
+    def batch(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, and whether they are known to make up its bytes."""
+        return self.encoder.batch([" " + t for t in texts]), [self.lossless] * len(texts)
 
 
 class PieceSide:
@@ -110,7 +113,7 @@ class PieceSide:
 
     No piece holds a mark for a space after another character, or a line feed (checked). So a
     text is cut before each run of spaces and around each line feed, and each distinct part is
-    encoded once per worker. A text that holds the mark itself is encoded whole.
+    encoded, and compared with the bytes of its tokens, once per worker. A text that holds the mark itself is encoded whole.
     """
 
     MARK = "▁"
@@ -133,23 +136,35 @@ class PieceSide:
         before = self.library.encode("\n")
         self.separable = not joined and len(before) == 2
         self.cut = re.compile(" +[^ \n]*|[^ \n]+|\n").findall
-        self.table = Table(lambda part: self._parts([part])[0], MOST_KEPT // 2)
+        self.table = Table(lambda part: self._parts([part])[0], MOST_KEPT)
+        # Parts that are not what their tokens make up.
+        self.changed: set[str] = set()
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of parts inside a text: after a line feed, whose two ids are taken off."""
-        return [packed(ids[2:]) for ids in self.library.encode(["\n" + p for p in parts], num_threads=1)]
+        made = self.library.encode(["\n" + p for p in parts], num_threads=1)
+        for part, ids in zip(parts, made, strict=True):
+            if b"".join(map(self.bytes_of.__getitem__, ids[2:])) != part.encode():
+                self.changed.add(part)
+        return [packed(ids[2:]) for ids in made]
 
     def _whole(self, text: str) -> bytes:
         return packed(self.library.encode([text], num_threads=1)[0])
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def batch(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text, and whether they are known to make up its bytes."""
         cut = [self.cut(" " + t) if self.separable and self.MARK not in t else None for t in texts]
         self.table.tidy()
-        self.table.fill(set(chain.from_iterable(c for c in cut if c)), self._parts)
+        self.table.fill(set().union(*(c for c in cut if c)), self._parts)
         get = self.table.__getitem__
         made = [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
-        self.table.drop_long(LONGEST_KEPT)
-        return made
+        self.table.drop_long()
+        known = [c is not None and not (self.changed and self.changed.intersection(c)) for c in cut]
+        if len(self.changed) > MOST_KEPT:
+            self.changed.clear()
+            self.table.clear()
+            self.table.older = {}
+        return made, known
 
 
 class Aligner:
@@ -190,13 +205,14 @@ class Aligner:
         if not filled:
             return made
         own = [texts[i] for i in filled]
-        ids_a = [np.frombuffer(x, "<u4") for x in self.a.batch(own)]
-        ids_b = [np.frombuffer(x, "<u4") for x in self.b.batch(own)]
+        (made_a, known_a), (made_b, known_b) = self.a.batch(own), self.b.batch(own)
+        ids_a = [np.frombuffer(x, "<u4") for x in made_a]
+        ids_b = [np.frombuffer(x, "<u4") for x in made_b]
         kept, sizes = [], []
         for k, text in enumerate(own):
-            raw = b" " + text.encode("utf-8", "surrogatepass")
-            if self.covers(ids_a[k], self.a.bytes_of, self.length_a, raw) and self.covers(
-                ids_b[k], self.b.bytes_of, self.length_b, raw
+            raw = b" " + text.encode()
+            if (known_a[k] or self.covers(ids_a[k], self.a.bytes_of, self.length_a, raw)) and (
+                known_b[k] or self.covers(ids_b[k], self.b.bytes_of, self.length_b, raw)
             ):
                 kept.append(k)
                 sizes.append(len(raw))

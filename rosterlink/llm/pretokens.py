@@ -23,6 +23,9 @@ SPACE = "\\t-\\r \\x85\\xa0"
 # A worker's table holds about so many pre-tokens (about 230 bytes each).
 MOST_KEPT = 400_000
 
+# Pre-tokens longer than this (characters) are not kept.
+LONGEST_KEPT = 100
+
 
 def _of_category(letter: str) -> str:
     return "".join(f"\\u{c:04x}" for c in PLAIN if unicodedata.category(chr(c))[0] == letter)
@@ -71,18 +74,18 @@ class Table(dict):
 
     def fill(self, pieces: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
         """Enter all of ``pieces``; those that are new are made in one call."""
-        new = [p for p in pieces if p not in self]
+        new = pieces.difference(self)
         older = self.older
-        missing = [p for p in new if p not in older]
-        self.update((p, older[p]) for p in new if p in older)
+        missing = list(new.difference(older)) if older else list(new)
+        if len(missing) < len(new):
+            self.update((p, older[p]) for p in new.intersection(older))
         self.update(zip(missing, make(missing), strict=True))
-        self.long += [p for p in missing if len(p) > 100]
+        self.long += [p for p in missing if len(p) > LONGEST_KEPT]
 
-    def drop_long(self, longest: int) -> None:
-        """Forget new entries of more than ``longest`` characters."""
+    def drop_long(self) -> None:
+        """Forget new entries that are too long to keep."""
         for piece in self.long:
-            if len(piece) > longest:
-                self.pop(piece, None)
+            self.pop(piece, None)
         self.long.clear()
 
     def tidy(self) -> None:

@@ -6,7 +6,6 @@ import functools
 import os
 import sys
 from array import array
-from itertools import chain
 
 import numpy as np
 
@@ -14,9 +13,6 @@ from .pretokens import MOST_KEPT, Table, byte_level_pattern, is_plain, word_patt
 
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
-# Pre-tokens longer than this (characters) are not kept in the table.
-LONGEST_KEPT = 100
-
 
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
@@ -63,13 +59,13 @@ class TextEncoder:
         cut = [self._pieces(text) for text in texts]
         table = self.table
         table.tidy()
-        table.fill(set(chain.from_iterable(c for c in cut if c)), self._whole)
+        table.fill(set().union(*(c for c in cut if c)), self._whole)
         get = table.__getitem__
         made = [b"" if c is None else b"".join(map(get, c)) for c in cut]
         for i, c in enumerate(cut):
             if c is None:
                 made[i] = self._whole([texts[i]])[0]
-        table.drop_long(LONGEST_KEPT)
+        table.drop_long()
         return made
 
     def ids(self, text: str) -> bytes:
