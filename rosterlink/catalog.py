@@ -13,7 +13,9 @@ from .fixtures import build
 from .functions.text import single_line_base64
 from .operators.documents import append_documents, remove_documents, source_document
 from .operators.edits import apply_corrections
+from .operators.facets import facet_counts, facet_index, facet_rows
 from .operators.filters import (
+    STATES,
     facet_filter,
     facet_values,
     only_unmatched,
@@ -25,6 +27,7 @@ from .operators.filters import (
 from .operators.lookup import PERSON, lookup, status, summary
 from .operators.nearest import link_by_name, link_count
 from .operators.ranking import numbered
+from .operators.trigrams import search, text_index
 from .plans import ordered, read_once, reconcile_attempts, submit, submit_once, view
 from .plans.submit import submitted
 from .plans.view import with_official
@@ -32,7 +35,7 @@ from .sinks.commits import stage
 from .sinks.export import HEADER, export_lines, write_export
 from .sinks.payload import payloads, refused
 from .sinks.register import read_register, register_rows, rejected_payloads, replies
-from .sources.documents import accepted_documents, request_manifest, request_parts
+from .sources.documents import accepted_documents, request_cuts, request_manifest, request_parts
 from .sources.responses import (
     clean_responses,
     failed_batches,
@@ -55,6 +58,7 @@ INSTRUCTION = "Extrae una sola tabla."
 FACETS = {"ocupacion": ["1-URGENT", "2-HIGH"], "area": ["O", "F"]}
 ROSTER_TEXT = " 0011 "
 PER_PAYLOAD = 1000
+MAX_BYTES = 20_000
 
 
 def query(function: Query) -> Query:
@@ -231,9 +235,44 @@ def q_highlight_case(spark, folder):
     return marked.select("seq", "nombre_marcado", "dni_marcado")
 
 
+def _facets(spark, folder):
+    """Index of a view's facets, the status among them."""
+    return facet_index(view(*_rows(spark, folder)), ["estado", "ocupacion", "area"])
+
+
 @query
 def q_facet_states(spark, folder):
-    return facet_values(build(spark, folder, "fx_rows"), "estado", positions=True)
+    """The states in their order, with the rows that have each."""
+    counted = facet_counts(_facets(spark, folder), "estado")
+    place = F.array_position(F.array(*map(F.lit, STATES)), F.col("valor"))
+    return counted.select("valor", place.cast("long").alias("pos"), F.col("n").alias("filas"))
+
+
+@query
+def q_facet_counts(spark, folder):
+    """Rows of each value of each facet under the selection of all others."""
+    index, chosen = _facets(spark, folder), {**FACETS, "estado": ["OK"]}
+    counted = [facet_counts(index, c, chosen).withColumn("columna", F.lit(c)) for c in index.columns]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query
+def q_facet_rows(spark, folder):
+    """The rows that pass a selection, found by bitmaps."""
+    return facet_rows(_facets(spark, folder), {**FACETS, "estado": ["OK"]}).select(*ROW, *OFFICIAL)
+
+
+@query
+def q_text_index(spark, folder):
+    """A search through the index of trigrams."""
+    return search(text_index(build(spark, folder, "fx_rows")), CASED_TEXT)
+
+
+@query
+def q_lookup_reduced(spark, folder):
+    """The plan of a large roster: rows that cannot match are told by a bitmap and not shuffled."""
+    matched = lookup(*_rows(spark, folder), "left", broadcast=False).withColumn("estado", status())
+    return matched.select(*ROW, "estado", *(F.col(f"oficial.{c}").alias(f"{c}_oficial") for c in PERSON))
 
 
 @query
@@ -388,6 +427,27 @@ def q_payload_parts(spark, folder):
     )
 
 
+@query
+def q_payload_bytes(spark, folder):
+    """How each reference is split in payloads of bounded text, and the size of each."""
+    matched = lookup(*_rows(spark, folder), "inner")
+    sent = payloads(matched, F.col("ocupacion"), max_bytes=MAX_BYTES)
+    people = F.size(F.from_json("payload", "participantes array<struct<Id: string>>")["participantes"])
+    return sent.select(
+        "IdRef",
+        "parte",
+        people.cast("long").alias("participantes"),
+        F.octet_length("payload").cast("long").alias("bytes"),
+    )
+
+
+@query
+def q_request_cuts(spark, folder):
+    """Batches of documents cut into requests of bounded size."""
+    docs = build(spark, folder, "fx_docs").withColumn("content", F.encode("content", "UTF-8"))
+    return request_cuts(docs.withColumnRenamed("mime", "batch"), ["batch"], MAX_BYTES)
+
+
 @query
 def q_submit_register(spark, folder):
     """A filtered view submitted, and the register read back."""

@@ -44,6 +44,14 @@ def remove_stored(spark: SparkSession) -> int:
     return made
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`stored` has written, when nothing will read it any more."""
+    names = {file.rsplit("/", 2)[1] for file in table.inputFiles()}
+    for path in [p for p in _MADE if p.rsplit("/", 1)[1] in names]:
+        _delete(table.sparkSession, path)
+        _MADE.remove(path)
+
+
 @contextmanager
 def only_last_stored(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that :func:`stored` writes inside the block, but for the last one.

@@ -44,7 +44,8 @@ def lookup(
     """Match rows with the roster; ``left`` and ``inner`` add the struct ``oficial``.
 
     ``left_semi`` and ``left_anti`` keep the rows that have, or lack, a match.
-    The measured roster bounds the index, which is never larger.
+    The measured roster bounds the index, which is never larger. With a large roster, rows whose key
+    it cannot hold are told by a bitmap of its keys and stay where they are.
     """
     if broadcast is None:
         broadcast = index_fits(roster)
@@ -54,7 +55,8 @@ def lookup(
     else:
         index = roster_index(roster)
     keyed = rows.withColumn("llave", identity_key(F.col("dni")))
-    return lookup_join(keyed, index, ["llave"], how, broadcast=broadcast, **options).drop("llave")
+    joined = lookup_join(keyed, index, ["llave"], how, broadcast=broadcast, reduce=True, **options)
+    return joined.drop("llave")
 
 
 def is_matched() -> Column:

@@ -100,7 +100,19 @@ PEOPLE = (
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _with_ids(people: str) -> str:
+def _greedy(items: str, group: str, bound: str) -> str:
+    """``partes``: items with their part, found by going from part to part."""
+    return (
+        f"antes_de AS (SELECT *, coalesce(lag(hasta) OVER (PARTITION BY {group} ORDER BY pos), 0) AS antes FROM {items}), "
+        f"inicios AS (SELECT {group}, pos, antes, 1 AS parte FROM antes_de WHERE pos = 1 UNION ALL "
+        f"SELECT {group}, pos, antes, parte FROM (SELECT a.{group}, a.pos, a.antes, i.parte + 1 AS parte, "
+        f"row_number() OVER (PARTITION BY a.{group} ORDER BY a.pos) AS nth FROM inicios AS i JOIN antes_de AS a "
+        f"ON a.{group} = i.{group} AND a.pos > i.pos AND a.hasta > i.antes + {bound}) WHERE nth = 1), "
+        f"partes AS (SELECT a.*, i.parte FROM antes_de AS a ASOF JOIN inicios AS i ON a.{group} = i.{group} AND a.pos >= i.pos)"
+    )
+
+
+def _with_ids(people: str, more: str = "") -> str:
     """Register rows of ``people``: their ``pos`` in ``IdRef`` goes through four Feistel rounds."""
     text = f"SELECT *, (pos - 1) // 46656 AS l, (pos - 1) % 46656 AS r, md5(IdRef) AS h FROM ({people})"
     for first in (1, 6, 11, 16):
@@ -112,7 +124,7 @@ def _with_ids(people: str) -> str:
     digits = ", ".join(f"substr('{DIGITS}', CAST(n // {36**i} % 36 + 1 AS INT), 1)" for i in range(5, -1, -1))
     return (
         f"SELECT concat('x', CASE n WHEN 0 THEN '0' ELSE ltrim(concat({digits}), '0') END) AS Id, "
-        f"IdRef, ParticipanteDNI, Participante, Cargo, Area FROM (SELECT *, l * 46656 + r AS n FROM ({text}))"
+        f"IdRef, ParticipanteDNI, Participante, Cargo, Area{more and ', ' + more} FROM (SELECT *, l * 46656 + r AS n FROM ({text}))"
     )
 
 
@@ -177,7 +189,20 @@ QUERIES = {
     "replace(dni, '11', '<mark>11</mark>') AS dni_marcado FROM fx_rows",
     "highlight_case": r"SELECT seq, regexp_replace(nombre, '(R#00000001)', '<mark>\1</mark>', 'gi') "
     r"AS nombre_marcado, regexp_replace(dni, '(R#00000001)', '<mark>\1</mark>', 'gi') AS dni_marcado FROM fx_rows",
-    "facet_states": "SELECT * FROM (VALUES ('OK', CAST(1 AS BIGINT)), ('FUERA', 2)) AS t(valor, pos)",
+    "facet_states": "SELECT estado AS valor, CASE estado WHEN 'OK' THEN 1 ELSE 2 END AS pos, count(*) AS filas "
+    "FROM vista GROUP BY estado",
+    "facet_counts": " UNION ALL ".join(
+        f"SELECT '{c}' AS columna, valor, count(*) FILTER (WHERE {' AND '.join(o)}) AS n "
+        f"FROM (SELECT *, {c} AS valor FROM vista) WHERE valor <> '' GROUP BY valor"
+        for c, o in {
+            "estado": [HAS_FACETS],
+            "ocupacion": ["area IN ('O', 'F')", "estado = 'OK'"],
+            "area": ["ocupacion IN ('1-URGENT', '2-HIGH')", "estado = 'OK'"],
+        }.items()
+    ),
+    "facet_rows": f"SELECT {ROW}, {OFFICIAL} FROM vista WHERE estado = 'OK' AND {HAS_FACETS}",
+    "text_index": f"SELECT {ROW} FROM fx_rows WHERE {HAS_CASED_TEXT}",
+    "lookup_reduced": f"SELECT {ROW}, estado, {PERSON} FROM vista",
     "facet_values": "SELECT valor, row_number() OVER (ORDER BY valor) AS pos FROM "
     "(SELECT DISTINCT nombre AS valor FROM fx_rows WHERE nombre <> '')",
     "sort_asc": _sorted("nombre", "ASC"),
@@ -220,6 +245,24 @@ QUERIES = {
     """'","Cargo":"', Cargo, '","Area":"', Area, '"}'), ',' ORDER BY nth), ']}') AS payload FROM """
     f"(SELECT {PEOPLE}, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS nth "
     "FROM vista WHERE estado = 'OK') GROUP BY 1, 2",
+    "payload_bytes": "WITH RECURSIVE personas AS MATERIALIZED (SELECT IdRef, pos, sum(octet_length(encode(concat("
+    """'{"Id":"', Id, '","ParticipanteDNI":"', ParticipanteDNI, '","Participante":"', Participante, """
+    """'","Cargo":"', Cargo, '","Area":"', Area, '"},')))) OVER (PARTITION BY IdRef ORDER BY pos) AS hasta, """
+    """octet_length(encode(concat('{"IdRef":"', IdRef, '","participantes":[]}'))) AS marco FROM ("""
+    + _with_ids(
+        f"SELECT {PEOPLE}, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS pos FROM vista WHERE estado = 'OK'",
+        "pos",
+    )
+    + ")), "
+    + _greedy("personas", "IdRef", "20000 + 1 - marco")
+    + " SELECT IdRef, parte, participantes, bytes + any_marco - 1 AS bytes FROM (SELECT IdRef, parte, count(*) AS participantes, "
+    "max(hasta) - min(antes) AS bytes, any_value(marco) AS any_marco FROM partes GROUP BY IdRef, parte)",
+    "request_cuts": "WITH RECURSIVE tamanos AS MATERIALIZED (SELECT doc_seq, batch, pos, "
+    "sum(octet_length(encode(concat('Archivo ', CAST(pos AS VARCHAR), ': ', name))) + (octet_length(encode(content)) + 2) // 3 * 4) "
+    "OVER (PARTITION BY batch ORDER BY pos) AS hasta FROM (SELECT *, mime AS batch, "
+    "row_number() OVER (PARTITION BY mime ORDER BY doc_seq) AS pos FROM fx_docs)), "
+    + _greedy("tamanos", "batch", "20000")
+    + " SELECT doc_seq, batch, pos, parte AS peticion FROM partes",
     "submit_register": _with_ids(
         f"SELECT {PEOPLE}, row_number() OVER (PARTITION BY ocupacion ORDER BY seq) AS pos FROM vista "
         "WHERE estado = 'OK' AND area IN ('O', 'F')"
@@ -243,6 +286,9 @@ QUERIES = {
 }
 
 
+RECURSIVE = "WITH RECURSIVE"
+
+
 def _needed(text: str) -> set[str]:
     names: set[str] = set()
     for name in set(re.findall(r"\w+", text)) & COMMON.keys():
@@ -256,5 +302,8 @@ def oracle_sql() -> dict[str, str]:
     for key, text in QUERIES.items():
         names = _needed(text)
         common = ", ".join(f"{n} AS ({COMMON[n]})" for n in COMMON if n in names)
-        out[key] = f"WITH {common} {text}" if common else text
+        if common and text.startswith(RECURSIVE):
+            out[key] = f"{RECURSIVE} {common}, {text.removeprefix(RECURSIVE)}"
+        else:
+            out[key] = f"WITH {common} {text}" if common else text
     return out

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..functions.text import known, participant_id
+from ..operators.cutting import greedy_parts
 from ..operators.filters import sort_order
 from ..operators.lookup import PERSON, is_matched
 from ..operators.ranking import numbered
 
 # Fixed value: the fields of a participant, in order.
 PARTICIPANT = ["Id", "ParticipanteDNI", "Participante", "Cargo", "Area"]
+_FIELDS = ", ".join(f"{c}: string" for c in PARTICIPANT)
 
 
 def participants(
@@ -45,22 +48,39 @@ def refused(view: DataFrame, id_ref: Column) -> DataFrame:
 def payloads(
     view: DataFrame,
     id_ref: Column,
-    per_payload: int,
+    per_payload: int | None = None,
     sort: str | None = None,
     direction: str = "asc",
+    *,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """``IdRef``, ``parte`` and ``payload``, with the participants in view order.
 
-    For references that leave the cluster as text. A reference with more than
-    ``per_payload`` participants is sent in several parts, all complete and in
-    order: a payload is one value, so its size must have a bound, which the
-    caller states. A reference without participants has no payload.
+    For references that leave the cluster as text. A payload is one value, so its size must have a
+    bound, which the caller states: ``per_payload`` participants, or ``max_bytes`` of text (a single participant may
+    exceed it). A larger reference is sent in several parts, all complete and in
+    order, each as full as the bound allows. A reference without participants has no payload.
     """
+    if (per_payload is None) == (max_bytes is None):
+        raise ValueError("state either per_payload or max_bytes")
     placed = participants(view, id_ref, sort, direction)
-    part = ((F.col("pos") - 1) / per_payload).cast("long") + 1
+    if max_bytes is None:
+        cut = placed.withColumn("parte", ((F.col("pos") - 1) / per_payload).cast("long") + 1)
+    else:
+        placed = stored(placed)
+        none = F.struct("IdRef", F.array().cast(f"array<struct<{_FIELDS}>>").alias("participantes"))
+        # A comma before each participant but the first.
+        sized = placed.select(
+            "IdRef",
+            "pos",
+            (F.octet_length(F.to_json("participante")) + 1).alias("bytes"),
+            (F.lit(max_bytes + 1) - F.octet_length(F.to_json(none))).alias("most"),
+        )
+        parts = greedy_parts(sized, ["IdRef"], "pos", "bytes", F.greatest(F.col("most"), F.lit(1)))
+        cut = placed.join(parts, ["IdRef", "pos"])
     ordered = F.array_sort(F.collect_list(F.struct("pos", "participante")))
     return (
-        placed.groupBy("IdRef", part.alias("parte"))
+        cut.groupBy("IdRef", "parte")
         .agg(F.transform(ordered, lambda p: p["participante"]).alias("participantes"))
         .select("IdRef", "parte", F.to_json(F.struct("IdRef", "participantes")).alias("payload"))
     )

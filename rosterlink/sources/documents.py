@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..durable import stored
 from ..functions.text import known, single_line_base64
+from ..operators.cutting import greedy_parts
 from ..operators.ranking import numbered
 from ..operators.sizing import measured
 
@@ -135,5 +136,25 @@ def request_parts(documents: DataFrame, scope: list[str], instruction: str) -> D
     return labels.unionByName(contents).unionByName(closing)
 
 
+def request_cuts(documents: DataFrame, scope: list[str], max_bytes: int) -> DataFrame:
+    """``doc_seq``, ``scope``, ``pos`` and ``peticion``: the request, from 1, that takes each document of a batch.
+
+    A request takes documents, in order, as long as their labels and base64 text stay within
+    ``max_bytes``; a larger document is a request of its own. Sizes come from the lengths of contents, which are not moved.
+    """
+    sized = documents.select(
+        "doc_seq", *scope, "name", F.octet_length(F.col("content").cast("binary")).alias("_bytes")
+    )
+    placed = request_manifest(sized, scope)
+    # Base64 writes four characters for each three bytes begun.
+    encoded = F.floor((F.coalesce("_bytes", F.lit(0)) + 2) / 3) * 4
+    whole = placed.withColumn("_size", encoded + F.octet_length("etiqueta"))
+    # A missing scope is a batch like any other.
+    key = F.to_json(F.struct(*scope), {"ignoreNullFields": "false"}).alias("_batch")
+    keyed = stored(whole.select("doc_seq", *scope, "pos", "_size", key))
+    parts = greedy_parts(keyed, ["_batch"], "pos", "_size", max_bytes).withColumnRenamed("parte", "peticion")
+    return keyed.join(parts, ["_batch", "pos"]).select("doc_seq", *scope, "pos", "peticion")
+
+
 def _no_data() -> list[Column]:
     return [F.lit(None).cast("string").alias(c) for c in ("mime", "base64")]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlink.operators.joins import hot_keys, lookup_join
+from rosterlink.operators.joins import hot_keys, lookup_join, split_by_keys
 from rosterlink.operators.lookup import lookup, roster_index, status, summary
 from rosterlink.operators.sizing import broadcast_limit, fits_broadcast, measured_bytes
 
@@ -101,3 +101,54 @@ def test_every_hot_key_is_spread(spark):
     assert hot.count() == 300 and {r["_tasks"] for r in hot.collect()} == {3}
     joined = lookup_join(rows, unique, ["k"], broadcast=False, rows_per_task=7)
     assert joined.count() == 6000 and joined.filter("v is null or v != 2 * k").count() == 0
+
+
+def shuffled_rows(df):
+    """Records written by each exchange of the plan that ran."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, waiting = [], [plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if "QueryStage" in node.nodeName():
+            waiting.append(node.plan())
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_rows_that_cannot_match_are_not_shuffled(spark):
+    rows = spark.range(40_000).select(
+        F.col("id").alias("seq"), F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(-F.col("id")).alias("k")
+    )
+    unique = spark.range(40_000).select(F.col("id").alias("k"), F.struct((F.col("id") * 2).alias("v")).alias("s"))
+    may, never = split_by_keys(rows, unique, ["k"])
+    kept = may.count()
+    assert kept + never.count() == 40_000 and 2000 <= kept < 6000
+    for how, want in (("left", 40_000), ("inner", 2000), ("left_semi", 2000), ("left_anti", 38_000)):
+        plain = lookup_join(rows, unique, ["k"], how, broadcast=False)
+        made = lookup_join(rows, unique, ["k"], how, broadcast=False, reduce=True)
+        assert made.columns == plain.columns
+        got = sorted(made.select("seq").toPandas()["seq"]) if how != "left" else None
+        assert got is None or got == sorted(plain.select("seq").toPandas()["seq"])
+        assert made.count() == want == plain.count()
+    left = lookup_join(rows, unique, ["k"], "left", broadcast=False, reduce=True).select("seq", "k", "s.v")
+    assert left.filter("(v is null) = (k >= 0) or v != 2 * k").count() == 0
+    many = lookup_join(rows, unique, ["k"], "left_anti", broadcast=False, spread=False, reduce=True)
+    many.collect()
+    exchanged = shuffled_rows(many)
+    assert sorted(exchanged) == sorted([kept, 40_000]), exchanged
+
+
+def test_no_bitmap_without_room_for_it(spark):
+    unique = spark.range(1000).select(F.col("id").alias("k"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("-1", "1k"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert split_by_keys(unique, unique, ["k"]) is None
+            made = lookup_join(unique, unique, ["k"], "left_anti", seq="k", broadcast=False, reduce=True)
+            assert made.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -1,9 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlink.durable import remove_stored, stored
+from rosterlink.durable import discard, only_last_stored, remove_stored, stored
 from rosterlink.operators.lookup import lookup
 from rosterlink.plans import submit
 from rosterlink.sinks.export import HEADER, export_lines, write_export
@@ -100,6 +101,19 @@ def test_stored_tables_can_be_removed(spark):
     assert kept.count() == 3 and remove_stored(spark) == 1 and remove_stored(spark) == 0
 
 
+def test_one_stored_table_can_be_discarded(spark):
+    remove_stored(spark)
+    one, two = stored(spark.range(3)), stored(spark.range(4))
+    files = one.inputFiles()
+    discard(one)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert two.count() == 4 and remove_stored(spark) == 1
+    with only_last_stored(spark):
+        stored(spark.range(3))
+        last = stored(spark.range(5))
+    assert last.count() == 5 and remove_stored(spark) == 1
+
+
 def test_malformed_payloads(spark):
     df = spark.createDataFrame(
         [
