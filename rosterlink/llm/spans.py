@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rosterlink.durable import stored
+from rosterlink.durable import discard, stored
 from rosterlink.operators.joins import lookup_join
 
 LENGTH = 100
@@ -359,7 +359,7 @@ def repeated_runs(texts: DataFrame, length: int, most: int, chunk: int, unit: in
     whole = stored(records(texts, length, chunk), compression="zstd")
     keyed = whole.filter("key is not null")
     frequent = stored(keyed.groupBy("key").agg(F.count("*").alias("records")).filter(F.col("records") > most))
-    made = [whole.filter("key is null").select("row", "at", "n")]
+    made = [stored(whole.filter("key is null").select("row", "at", "n"))]
     if not frequent.isEmpty():
         keys = frequent.select("key")
         hot = lookup_join(keyed, keys, ["key"], "left_semi", seq="row")
@@ -378,6 +378,8 @@ def repeated_runs(texts: DataFrame, length: int, most: int, chunk: int, unit: in
         .drop("bytes_hash"),
         compression="zstd",
     )
+    # All that is needed of the records is stored by now.
+    discard(whole)
     made.append(judged.filter("again").select("row", "at", "n"))
     strings = strings_of(texts, judged.filter("not again"), length)
     made.append(repeats_in_units(strings, length, unit))
