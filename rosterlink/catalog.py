@@ -28,7 +28,7 @@ from .operators.lookup import PERSON, lookup, status, summary
 from .operators.nearest import link_by_name, link_count
 from .operators.ranking import numbered
 from .operators.trigrams import search, text_index
-from .plans import ordered, read_once, reconcile_attempts, submit, submit_once, view
+from .plans import corrected, keep, kept_summary, ordered, read_once, reconcile_attempts, submit, submit_once, view
 from .plans.submit import submitted
 from .plans.view import with_official
 from .sinks.commits import stage
@@ -365,6 +365,33 @@ def q_corrections(spark, folder):
     return apply_corrections(rows, build(spark, folder, "fx_corrections"), "turno")
 
 
+def _kept(spark, folder):
+    """A view that is kept, after each of the two turns of the log."""
+    rows, roster = _rows(spark, folder)
+    log = build(spark, folder, "fx_corrections")
+    shown = keep(rows, roster, ["method", "area"])
+    for turn in (1, 2):
+        shown = corrected(shown, log.filter(F.col("turno") == turn), "turno", roster)
+    return shown
+
+
+@query
+def q_kept_view(spark, folder):
+    """A view that follows its corrections by differences."""
+    return _kept(spark, folder).rows.select(*ROW, *OFFICIAL)
+
+
+@query
+def q_kept_counts(spark, folder):
+    """Rows of each facet value of that view, moved by differences."""
+    return _kept(spark, folder).counts
+
+
+@query
+def q_kept_summary(spark, folder):
+    return kept_summary(_kept(spark, folder))
+
+
 @query
 def q_append_remove_documents(spark, folder):
     docs = build(spark, folder, "fx_docs")

@@ -71,6 +71,10 @@ COMMON = {
     "vista_typos": _ranked_people("fx_typos"),
     "typos_vinculados": _linked("fx_typos", "vista_typos"),
     "ultimas": "SELECT seq, arg_max(dni, turno) AS dni FROM fx_corrections GROUP BY seq",
+    "corregidas": "SELECT r.* EXCLUDE (dni, method), coalesce(u.dni, r.dni) AS dni, "
+    "CASE WHEN u.seq IS NULL THEN method ELSE 'MANUAL' END AS method "
+    "FROM fx_rows AS r LEFT JOIN ultimas AS u ON u.seq = r.seq",
+    "vista_corregida": _ranked_people("corregidas"),
     "extraidas": "SELECT seq AS batch, 1 AS pos, '1' AS nro, nombre, coalesce(u.dni, r.dni) AS dni, "
     "ocupacion, area, sourceFile, CASE WHEN u.seq IS NULL THEN 'DEFAULT' ELSE 'MANUAL' END AS method "
     "FROM fx_rows AS r LEFT JOIN ultimas AS u USING (seq) "
@@ -223,6 +227,13 @@ QUERIES = {
     "(SELECT DISTINCT split_part(lower(sourceFile), '.', 1) AS stem FROM fx_rows WHERE sourceFile <> '') "
     "JOIN fx_docs AS d ON contains(lower(d.name), stem) GROUP BY stem) "
     "ON sourceFile <> '' AND stem = split_part(lower(sourceFile), '.', 1)",
+    "kept_view": f"SELECT {ROW}, {OFFICIAL} FROM vista_corregida",
+    "kept_counts": " UNION ALL ".join(
+        f"SELECT '{c}' AS columna, {c} AS valor, count(*) AS n FROM vista_corregida GROUP BY {c}"
+        for c in ("estado", "method", "area")
+    ),
+    "kept_summary": "SELECT count(*) AS total, count(*) FILTER (WHERE estado = 'FUERA') AS fuera "
+    "FROM vista_corregida",
     "corrections": "SELECT r.* EXCLUDE (dni, method), coalesce(u.dni, r.dni) AS dni, "
     "CASE WHEN u.seq IS NULL THEN method ELSE 'MANUAL' END AS method "
     "FROM fx_rows AS r LEFT JOIN ultimas AS u ON u.seq = r.seq",
@@ -255,7 +266,7 @@ QUERIES = {
     )
     + ")), "
     + _greedy("personas", "IdRef", "20000 + 1 - marco")
-    + " SELECT IdRef, parte, participantes, bytes + any_marco - 1 AS bytes FROM (SELECT IdRef, parte, count(*) AS participantes, "
+    + " SELECT IdRef, parte, participantes, CAST(bytes + any_marco - 1 AS BIGINT) AS bytes FROM (SELECT IdRef, parte, count(*) AS participantes, "
     "max(hasta) - min(antes) AS bytes, any_value(marco) AS any_marco FROM partes GROUP BY IdRef, parte)",
     "request_cuts": "WITH RECURSIVE tamanos AS MATERIALIZED (SELECT doc_seq, batch, pos, "
     "sum(octet_length(encode(concat('Archivo ', CAST(pos AS VARCHAR), ': ', name))) + (octet_length(encode(content)) + 2) // 3 * 4) "
