@@ -32,10 +32,18 @@ from .plans import corrected, keep, kept_summary, ordered, read_once, reconcile_
 from .plans.submit import submitted
 from .plans.view import with_official
 from .sinks.commits import stage
+from .sinks.documents import write_documents
 from .sinks.export import HEADER, export_lines, write_export
 from .sinks.payload import payloads, refused
 from .sinks.register import read_register, register_rows, rejected_payloads, replies
-from .sources.documents import accepted_documents, request_cuts, request_manifest, request_parts
+from .sources.documents import (
+    accepted_documents,
+    read_documents,
+    rejected_files,
+    request_cuts,
+    request_manifest,
+    request_parts,
+)
 from .sources.responses import (
     clean_responses,
     failed_batches,
@@ -140,6 +148,28 @@ def q_document_filter(spark, folder):
     return accepted_documents(build(spark, folder, "fx_docs"))
 
 
+def _scans(spark, folder):
+    """Documents written as files under their names."""
+    path = f"{shared_folder(spark)}/scans-{uuid.uuid4().hex}"
+    docs = build(spark, folder, "fx_docs").withColumn("content", F.encode("content", "UTF-8"))
+    write_documents(docs, path)
+    return path
+
+
+@query
+def q_named_files(spark, folder):
+    """Files of accepted types, read back."""
+    found = read_documents(spark, _scans(spark, folder))
+    return found.select("name", "size", "mime", F.md5("content").alias("md5"))
+
+
+@query
+def q_rejected_files(spark, folder):
+    """Files of other types."""
+    left = rejected_files(spark, _scans(spark, folder))
+    return left.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "mime")
+
+
 @query
 def q_base64_content(spark, folder):
     content = F.encode("content", "UTF-8")

@@ -174,6 +174,10 @@ QUERIES = {
     "SELECT batch, max(pos) * 2 + 1, 'Extrae una sola tabla.', NULL, NULL FROM lugares GROUP BY batch",
     "roster_files": "SELECT dni, concat(nombre, ', ', cargo) AS nombre, cargo, area FROM fx_roster",
     "document_filter": "SELECT * FROM fx_docs WHERE mime LIKE 'image/%' OR mime = 'application/pdf'",
+    "named_files": "SELECT name, octet_length(encode(content)) AS size, mime, md5(content) AS md5 FROM fx_docs "
+    "WHERE mime LIKE 'image/%' OR mime = 'application/pdf'",
+    "rejected_files": "SELECT name, octet_length(encode(content)) AS size, mime FROM fx_docs "
+    "WHERE mime = 'text/html'",
     "base64_content": "SELECT doc_seq, to_base64(encode(content)) AS base64 FROM fx_docs",
     "lookup_left": f"SELECT {ROW}, estado, {PERSON} FROM vista",
     "lookup_inner": f"SELECT {ROW}, {PERSON} FROM vista WHERE estado = 'OK'",

@@ -65,7 +65,8 @@ def read_documents(spark: SparkSession, path: str, arrival: int = 0) -> DataFram
     """Images and PDF files below a folder, in path order.
 
     The media type decides, whatever the extension. Files of other types are left out by
-    name, so their content is never read; :func:`rejected_files` lists them. The order
+    name, so their content is never read; :func:`rejected_files` lists them. Spark's reader passes over
+    empty files in both. The order
     comes from the path alone: contents, which are large, need no shuffle.
     """
     accepted = [
