@@ -26,6 +26,7 @@ from .operators.filters import (
 )
 from .operators.lookup import PERSON, lookup, status, summary
 from .operators.nearest import link_by_name, link_count
+from .operators.order_index import order_index, page
 from .operators.ranking import numbered
 from .operators.trigrams import search, text_index
 from .plans import corrected, keep, kept_summary, ordered, read_once, reconcile_attempts, submit, submit_once, view
@@ -67,6 +68,7 @@ FACETS = {"ocupacion": ["1-URGENT", "2-HIGH"], "area": ["O", "F"]}
 ROSTER_TEXT = " 0011 "
 PER_PAYLOAD = 1000
 MAX_BYTES = 20_000
+PAGE_FIRST, PAGE_ROWS = 101, 50
 
 
 def query(function: Query) -> Query:
@@ -330,6 +332,13 @@ def q_sort_status(spark, folder):
     return _sorted(spark, folder, "estado", "asc")
 
 
+@query
+def q_sort_page(spark, folder):
+    """One page of a sorted view, from positions that are stored once."""
+    shown = view(*_rows(spark, folder)).select(*ROW, *OFFICIAL)
+    return page(order_index(shown, ["nombre"]), "nombre", "desc", PAGE_FIRST, PAGE_ROWS)
+
+
 @query
 def q_roster_search(spark, folder):
     return roster_search(build(spark, folder, "fx_roster"), ROSTER_TEXT)

@@ -216,6 +216,8 @@ QUERIES = {
     "sort_asc": _sorted("nombre", "ASC"),
     "sort_desc": _sorted("sourceFile", "DESC"),
     "sort_status": _sorted("estado", "ASC"),
+    "sort_page": f"SELECT * FROM (SELECT {ROW}, {OFFICIAL}, row_number() OVER (ORDER BY lower(nombre) DESC, seq) AS pos "
+    "FROM vista) WHERE pos BETWEEN 101 AND 150",
     "roster_search": "SELECT seq, dni, nombre, cargo, area FROM fx_roster "
     f"WHERE contains(lower(nombre), '0011') OR contains({_key('dni')}, '11') ORDER BY seq LIMIT 10",
     "view_full": f"SELECT {ROW}, {OFFICIAL}, row_number() OVER (ORDER BY lower(nombre) DESC, seq) AS pos "
