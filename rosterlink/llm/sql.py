@@ -116,9 +116,36 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
 FROM documents d JOIN roots ON d.doc_id = roots.id LEFT JOIN sizes ON d.doc_id = sizes.doc_id
 """
 
+# Every string of 100 bytes by itself, in hexadecimal digits.
+REPEATED_SPANS = """
+WITH h AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS nr, octet_length(encode(coalesce(text, ''))) AS n,
+         hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (
+  SELECT nr, p, md5_number(substr(x, 2 * p + 1, 200)) AS w
+  FROM (SELECT nr, x, unnest(range(0, n - 99)) AS p FROM h WHERE n >= 100)),
+r AS (
+  SELECT nr, p FROM (SELECT nr, p, row_number() OVER (PARTITION BY w ORDER BY nr, p) AS nth FROM s) WHERE nth > 1),
+i AS (
+  SELECT nr, p, CASE WHEN p <= lag(p) OVER (PARTITION BY nr ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT nr, p, sum(new) OVER (PARTITION BY nr ORDER BY p) AS run FROM i),
+runs AS (SELECT nr, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY nr, run),
+pieces AS (
+  SELECT nr, coalesce(lag(z) OVER (PARTITION BY nr ORDER BY a), 0) AS f, a AS t FROM runs
+  UNION ALL SELECT nr, max(z), NULL FROM runs GROUP BY nr),
+kept AS (
+  SELECT nr, string_agg(substr(x, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f) AS k
+  FROM pieces JOIN h USING (nr) GROUP BY nr),
+cut AS (SELECT nr, sum(z - a) AS gone, count(*) AS spans FROM runs GROUP BY nr)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM h LEFT JOIN kept USING (nr) LEFT JOIN cut USING (nr)
+"""
+
 SQL = {
     "op1_url_filter": URL_FILTER,
     "op2_quality_rules": QUALITY_RULES,
     "op3_lattice_hashing": LATTICE_HASHING,
     "op4_bottom_k": BOTTOM_K,
+    "op12_repeated_spans": REPEATED_SPANS,
 }
