@@ -9,11 +9,16 @@ hashes come from one function.
 from __future__ import annotations
 
 import functools
+from hashlib import blake2b
 
 import numpy as np
 
 WIDTH = 5
 
+# Sums of powers modulo 2^64 have regular collisions between long words (such as those of two letters
+# in Thue-Morse order), so words from this length on are hashed one by one.
+LONG_WORD = 32
+
 # Bytes hashed at a time; a longer text is hashed by itself.
 BYTES_AT_ONCE = 2**20
 
@@ -72,6 +77,8 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     sums = np.cumsum(np.where(inside, _BYTE[data], np.uint64(0)) * _powers(_BASE, room)[: len(data)])
     sums = np.concatenate((np.zeros(1, np.uint64), sums))
     words = mixed((sums[end] - sums[start]) * _powers(_INVERSE, room)[start])
+    for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+        words[i] = int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
     borders = np.searchsorted(start, np.concatenate(([0], np.cumsum(lengths))))
     runs = np.zeros(max(0, len(words) - WIDTH + 1), dtype=np.uint64)
     for place in range(WIDTH):

@@ -8,9 +8,9 @@ each with the stack of rules that are active from there on. Events and urls are
 sorted together by key; a sweep hands every url the stack of the last border
 before it, in which the longest rule whose path fits decides.
 
-The urls are dealt evenly over slices, each sorted and swept by itself with all
-borders, so a host that holds any share of the rows does no harm, and a url row is
-shuffled once. Borders (two for each host that has a rule) are repeated per slice.
+The urls are dealt evenly over slices by their places in the input, each sorted and swept by
+itself with all borders, so a host, or one url repeated, that holds any share of the rows does no
+harm, and a url row is shuffled once. Slices grow in number with the rows. Borders (two for each host that has a rule) are repeated per slice.
 A stack holds the rules of one host and of the hosts above it: its size depends
 on the rule list, not on the urls.
 """
@@ -24,6 +24,9 @@ from pyspark.sql.window import Window
 # Sorts after every other character in UTF-8.
 LAST = "\U0010ffff"
 
+# Urls that one slice gets, about.
+ROWS_PER_SLICE = 500_000
+
 # A url that no rule fits.
 DEFAULT_VERDICT = "allow"
 
@@ -118,10 +121,12 @@ def judged(
     Rules with a null part are no rules. Extra columns are ignored.
     """
     spark = pages.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(least, -(-pages.count() // ROWS_PER_SLICE))
     url = F.col("url")
     urls = pages.select(
-        F.pmod(F.xxhash64(F.col(id_column), url), F.lit(slices)).cast("int").alias("slice"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices)).cast("int").alias("slice"),
         canonical(host_of(url)).alias("key"),
         F.lit(1).alias("is_url"),
         F.lit(None).cast(f"array<struct<{_RULE}>>").alias("stack"),

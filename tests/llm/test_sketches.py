@@ -126,3 +126,14 @@ def test_bounds_follow_the_limit():
     for p in (80, 85):
         made = np.random.default_rng(1).binomial(sketches.LISTED, p / 100, 10**6)
         assert (made < sketches.least_shared(p)).sum() <= 5
+
+
+@pytest.mark.parametrize("size", [32, 64, 512, 1024, 2048, 4096, 65536])
+def test_long_regular_words_have_hashes_of_their_own(size):
+    """Two letters in Thue-Morse order and the same exchanged, for which sums of powers modulo 2^64 agree."""
+    one = bytes(b"ab"[bin(i).count("1") % 2] for i in range(size))
+    other = one.translate(bytes.maketrans(b"ab", b"ba"))
+    for around in (b"%s", b"%s and", b"w " * 6 + b"%s" + b" w" * 6):
+        a, b, c = shingles.shingle_sets([around % one, around % other, around % one.upper()])
+        assert len(a) == len(grams((around % one).decode())) and a.tolist() == c.tolist()
+        assert not np.array_equal(a, b)

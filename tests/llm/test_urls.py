@@ -74,3 +74,22 @@ def test_no_rules_and_no_rows(spark):
     assert urls.judged(pages.filter(F.lit(False)), rules).count() == 0
     broken = spark.createDataFrame([(None, "block"), ("com/", None)], "rule string, verdict string")
     assert urls.judged(pages, broken).first().verdict == "allow"
+
+
+def test_repeated_rows_and_null_ids_are_spread(spark):
+    """Rows with nothing to tell them apart meet in no common slice."""
+    pages = spark.range(8000, numPartitions=40).select(
+        F.lit(None).cast("long").alias("page_id"), F.lit("http://example.com/en/").alias("url")
+    )
+    made = urls.judged(pages, urls.rules_table(spark, RULES), slices=8)
+    spread = [r[1] for r in made.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(spread) == 8000 and len(spread) > 1 and max(spread) < 4000
+    assert {r.verdict for r in made.select("verdict").distinct().collect()} == {"block"}
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(urls, "ROWS_PER_SLICE", 50)
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://a.b.net/").alias("url"))
+    made = urls.judged(pages, urls.rules_table(spark, RULES))
+    assert made.filter("verdict = 'block'").count() == 3000
+    assert "explode(sequence(0, 59" in made._jdf.queryExecution().analyzed().toString()
