@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -58,16 +60,24 @@ LOOKS_LIKE = {
     "¡": "i",
     "*": "aeiou",
 }
+# Letters of other scripts that look like Latin ones (fixed values).
+OTHER_SCRIPTS = dict(
+    zip("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0455\u0458\u04bb\u0501", "aeopcyxisjhd", strict=True)
+)
 # Costs of the channel, as negative logarithms.
 REPLACED, REPEATED, APART = 1.0, 0.5, 0.7
 # A token of nothing but letters, without a run of three, is seldom a disguise: what it
 # costs to take a mark inside it, or a doubled letter, for one.
 MARKED, DOUBLED = 4.0, 11.5
 
-# A term begins words in this share of the toxic texts of the sample, and is so much
-# denser there than in the others.
-LEAST_SHARE = 0.05
+# What it costs to end a word inside a disguised stretch, and to read a look-alike among letters
+# as itself: a stretch is one word unless the split reading is likelier by as much.
+INNER_END, KEPT = 3.0, 3.0
+
+# A term is so much denser in toxic texts than in the others, and the chance that any beginning of
+# a word, of all that were tried, is found in so many of them is at most so small.
 LEAST_RATIO = 8.0
+CHANCE = 0.001
 SHORTEST, LONGEST = 3, 10
 
 # Characters of the model's alphabet: 0 is the end of a word, 1 any other character.
@@ -159,6 +169,16 @@ def language_model(counts: np.ndarray, terms: list[str]) -> np.ndarray:
     return np.log(three)
 
 
+def folded(token: str) -> str:
+    """Without accents and wide forms; look-alikes of other scripts among Latin letters as these."""
+    if token.isascii():
+        return token
+    plain = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
+    if any("a" <= c <= "z" for c in plain):
+        plain = "".join(OTHER_SCRIPTS.get(c, c) for c in plain)
+    return plain
+
+
 def closed(token: str) -> str:
     """The token with each gap as one blank, or as a lone "*", which may be a letter."""
     return _GAPS.sub(lambda m: "*" if m[0].count("*") == 1 else " ", token)
@@ -174,13 +194,18 @@ def literal_cost(token: str, chars: np.ndarray) -> float:
     return cost
 
 
-def restore(token: str, chars: np.ndarray, whole: bool = True) -> tuple[str, float]:
+def restore(
+    token: str, chars: np.ndarray, whole: bool = True, inner_end: float = 0.0, kept: float = 0.0
+) -> tuple[str, float]:
     """The best reading of a closed token and its cost, by Viterbi over its lattice.
 
     A state is the last two characters read; words inside the token end where the
-    model prefers it, at a gap or symbol. Characters that have no other reading stay.
+    model prefers it by more than ``inner_end``, at a gap or symbol. Characters that have no other reading stay; look-alikes
+    in a token with letters stay where the model prefers it by more than ``kept``.
     A part of a token (not ``whole``) need not end a word.
     """
+    if not any(c.isalpha() for c in token):
+        kept = 0.0
     # State: (code before last, last code) -> (cost, what was read, as a chain of links).
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
@@ -198,11 +223,11 @@ def restore(token: str, chars: np.ndarray, whole: bool = True) -> tuple[str, flo
             row = chars[a, b]
             if ends:
                 offer((a, b), cost + APART, read)
-                offer((0, 0), cost - row[0], (read, " "))
+                offer((0, 0), cost + inner_end - row[0], (read, " "))
             if not ends or letters:
                 code = _NUMBER.get(c, 1)
                 if not ends or c not in " *":
-                    offer((b, code), cost - row[code], (read, c))
+                    offer((b, code), cost + (kept if letters else 0.0) - row[code], (read, c))
                 for letter in letters:
                     code = _NUMBER[letter]
                     offer((b, code), cost + REPLACED - row[code], (read, letter))
@@ -305,7 +330,8 @@ class Reader:
             return None
         if self._is_ordinary(token) and not _APART.fullmatch(whole):
             return self._ordinary(token)
-        return self._checked(restore(token, self.model.chars)[0].split())
+        read = restore(token, self.model.chars, inner_end=INNER_END, kept=KEPT)[0]
+        return self._checked(read.split())
 
     def _is_ordinary(self, token: str) -> bool:
         return bool(_ORDINARY.fullmatch(token)) and not _LONG_RUN.search(token)
@@ -352,10 +378,19 @@ class Reader:
             words = self._read(whole)
             if words and self._terms_in(words):
                 return words
+        other = folded(token)
+        if other != token:
+            words = self._words(other)
+            if self._terms_in(words):
+                return words
         return [core] if core else []
 
     def _spaced(self, spaced: str) -> list[str]:
-        return self._read(spaced) or [spaced]
+        words = self._read(spaced) or [spaced]
+        other = folded(spaced)
+        if other != spaced and not self._terms_in(words):
+            return self._read(other) or words
+        return words
 
     def _terms_in(self, words: list[str]) -> tuple[str, ...]:
         known, lengths = self.model.weights, range(SHORTEST, LONGEST + 1)
@@ -399,18 +434,49 @@ class Reader:
         return [(a, b) for _, a, b in sorted(set(found))]
 
 
+class _Once:
+    """Words of texts that did not stand between the same two words before.
+
+    So passages that texts share, near copies and a word said over and over tell what they tell once. Triples
+    are kept as bits of a table, whatever their number: a word in few is taken for known by chance.
+    """
+
+    def __init__(self) -> None:
+        self.bits = np.zeros(2**26, dtype=bool)
+
+    def __call__(self, words: list[str]) -> list[str]:
+        around = ["", *words, ""]
+        triples = zip(around, words, around[2:], strict=False)
+        places = np.array([zlib.crc32(" ".join(t).encode()) for t in triples], dtype=np.int64) % len(self.bits)
+        _, first = np.unique(places, return_index=True)
+        new = np.sort(first[~self.bits[places[first]]])
+        self.bits[places] = True
+        return [words[i] for i in new.tolist()]
+
+
+def _surprise(n: int, others: int, share: float) -> float:
+    """Least negative logarithm (Chernoff) of the chance that so many texts of all with a term are toxic ones."""
+    own = n / (n + others)
+    if own <= share:
+        return 0.0
+    rest = (1 - own) * math.log((1 - own) / (1 - share)) if others else 0.0
+    return (n + others) * (own * math.log(own / share) + rest)
+
+
 def learn_terms(rows: list[tuple[str, int]]) -> dict[str, tuple[float, bool]]:
     """Terms with the logarithm of their density ratio, and whether no other text has them.
 
     Of the beginnings of one word, the one that tells most is taken (toxic texts that
-    hold it, times the logarithm), at a tie the longest. Equal texts count once.
+    hold it, times the logarithm), at a tie the longest. Equal texts count once, and
+    a word between the same two words counts once for each label.
     """
     seen: dict[str, int] = {}
     for text, label in rows:
         seen[text] = max(label, seen.get(text, 0))
+    new = _Once(), _Once()
     texts, times, size = (Counter(), Counter()), (Counter(), Counter()), [1, 1]
     for text, label in seen.items():
-        words = Counter(w.strip(".,;:!?#%&*$\"'()") for w in _SPACE.split(text.lower()))
+        words = Counter(new[label]([w.strip(".,;:!?#%&*$\"'()") for w in _SPACE.split(text.lower())]))
         own: Counter = Counter()
         for word, k in words.items():
             for n in range(SHORTEST, min(len(word), LONGEST) + 1):
@@ -418,11 +484,12 @@ def learn_terms(rows: list[tuple[str, int]]) -> dict[str, tuple[float, bool]]:
         texts[label].update(own.keys())
         times[label].update(own)
         size[label] += sum(words.values())
-    least = max(4, LEAST_SHARE * sum(seen.values()))
+    bound = math.log(max(1, len(texts[1])) / CHANCE)
+    share = size[1] / (size[0] + size[1])
     told = []
     for term, n in texts[1].items():
         ratio = (times[1][term] + 0.5) / size[1] * size[0] / (times[0][term] + 0.5)
-        if n >= least and ratio >= LEAST_RATIO:
+        if ratio >= LEAST_RATIO and _surprise(n, texts[0][term], share) >= bound:
             told.append((round(n * math.log(ratio), 9), len(term), term, math.log(ratio)))
     terms: dict[str, tuple[float, bool]] = {}
     for _, _, term, weight in sorted(told, reverse=True):

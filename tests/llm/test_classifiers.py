@@ -1,5 +1,6 @@
 """The two classifiers: held-out accuracy, whole texts, gradients, restored words."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -197,3 +198,110 @@ def test_words_of_three_letters_set_apart():
 def test_adverse_texts_take_time_in_proportion(reader):
     for text in ("a*" * 100000, "los-" * 60000, "aa-" * 60000, "i!d!" * 50000, "x" + "-" * 200000 + " y"):
         assert not reader.terms(text)[0]
+
+
+def all_readings(token, chars, inner_end, kept):
+    """Cost of each reading of a token, from every path of its lattice."""
+    kept = kept if any(c.isalpha() for c in token) else 0.0
+    found = {}
+
+    def go(at, a, b, read, before, cost):
+        if at == len(token):
+            total = cost - chars[a, b, 0]
+            found[read] = min(total, found.get(read, np.inf))
+            return
+        c = token[at]
+        letters = toxicity.LOOKS_LIKE.get(c, "")
+        ends = not c.isalnum() and 0 < at < len(token) - 1
+        after = before if ends else c
+        if ends:
+            go(at + 1, a, b, read, after, cost + toxicity.APART)
+            go(at + 1, 0, 0, read + " ", after, cost + inner_end - chars[a, b, 0])
+        for x in (c, *letters):
+            if x == c and ends and (not letters or c == "*"):
+                continue
+            extra = toxicity.REPLACED if x != c else kept if letters else 0.0
+            code = toxicity._NUMBER.get(x, 1)
+            go(at + 1, b, code, read + x, after, cost + extra - chars[a, b, code])
+        if read and b > 1 and (c in (before, read[-1]) or read[-1] in letters):
+            go(at + 1, a, b, read, after, cost + toxicity.REPEATED)
+
+    go(0, 0, 0, "", "", 0.0)
+    return found
+
+
+@pytest.mark.parametrize("costs", [(0.0, 0.0), (toxicity.INNER_END, toxicity.KEPT)])
+def test_best_reading_against_every_path(costs):
+    random = np.random.default_rng(8)
+    chars = np.log(random.dirichlet(np.full(toxicity._SIZE, 0.3), (toxicity._SIZE, toxicity._SIZE)) + 1e-6)
+    tokens = ["".join(random.choice(list("aiost1$!0 *4"), n)).strip() for n in range(1, 8) for _ in range(40)]
+    tokens += ["a", "1", "1d10t", "i d i", "ss", "$$a", "a$$", "b*a", "l|l", "7 5 3", "aa!!"]
+    for token in (toxicity.closed(t) for t in tokens if t):
+        every = all_readings(token, chars, *costs)
+        read, cost = toxicity.restore(token, chars, True, *costs)
+        assert abs(cost - min(every.values())) < 1e-9
+        assert abs(every[read] - cost) < 1e-9
+
+
+SET_APART = {"spaced": " ".join, "dotted": ".".join, "dashed": "-".join, "slashed": "/".join}
+TERMS = ["idiot", "moron", "stupid", "trash", "loser", "worthless", "pathetic", "clown", "disgusting", "scum"]
+
+
+@pytest.mark.parametrize("form", SET_APART)
+def test_terms_set_apart_are_one_word(reader, form):
+    for term in TERMS:
+        assert term in reader.terms(f"and the {SET_APART[form](term)} of it")[0]
+
+
+def test_look_alikes_in_whole_terms(reader):
+    tables = [str.maketrans("aeiost", "431057"), str.maketrans("aeio", "@3!0")]
+    for term, marks, form in itertools.product(TERMS, tables, ("".join, " ".join)):
+        assert term in reader.terms(f"and the {form(term.translate(marks))} of it")[0]
+
+
+@pytest.mark.parametrize("term", TERMS)
+def test_other_scripts_accents_and_wide_letters(reader, term):
+    cyrillic = term.translate(str.maketrans("aeocp", "\u0430\u0435\u043e\u0441\u0440"))
+    accents = term.translate(str.maketrans("aeiou", "\u00e1\u00e9\u00ed\u00f3\u00fa"))
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in term)
+    for text in (cyrillic, accents, wide, " ".join(wide)):
+        assert term in reader.terms(f"and the {text} of it")[0]
+
+
+def test_terms_are_no_passages_and_may_be_rare():
+    random = np.random.default_rng(4)
+    words = ["".join(random.choice(list("bcdfgaeiou"), 6)) for _ in range(400)]
+    rows = []
+    for i in range(2000):
+        text = list(random.choice(words, 30))
+        if i % 10 == 0:
+            # A rare term, a passage that toxic texts share, and a word said over and over in one text.
+            text += ["zzyzx", *random.choice(words, 2)] if i % 80 == 0 else []
+            text += ["one", "passage", "quoted", "here"] if i % 20 == 0 else []
+            text += ["again"] * 500 if i == 10 else []
+        rows.append((" ".join(text), int(i % 10 == 0)))
+    terms = toxicity.learn_terms(rows)
+    assert any("zzyzx".startswith(t) for t in terms)
+    assert not any(w.startswith(t) for t in terms for w in ("passage", "quoted", "again"))
+    assert toxicity.learn_terms([]) == {} and toxicity.learn_terms([("", 1), ("a", 0)]) == {}
+
+
+def test_ordinary_words_are_not_learned(reader):
+    assert not any(w.startswith(t) for t in reader.model.weights for w in ("things", "the", "und", "que", "por"))
+
+
+def test_network_against_a_plain_loop():
+    net = convnet.fresh(3)
+    net.bias += np.linspace(-0.2, 0.2, convnet.FILTERS).astype(np.float32)
+    texts = [b"", b"a", bytes(range(63)), bytes(range(64)), b"some text " * 19, b"xy" * 301]
+    for text, p in zip(texts, convnet.score(net, texts), strict=True):
+        padded = text + bytes(convnet.WIDTH)
+        values = []
+        for at in range(len(text) + 1):
+            values.append(sum(net.table[j, padded[at + j]].astype(np.float64) for j in range(convnet.WIDTH)))
+        cells = [np.max(values[i : i + convnet.CELL], axis=0) for i in range(0, len(values), convnet.CELL)]
+        whole = max(1, -(-(len(text) + convnet.WIDTH) // convnet.CELL))
+        starts = range(0, max(1, whole - 1), convnet.STEP)
+        chunks = [np.maximum(np.max(cells[i : i + convnet.CELLS], axis=0) + net.bias, 0) for i in starts if i < len(cells)]
+        pooled = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0), np.min(chunks, axis=0)])
+        assert abs(p - 1 / (1 + np.exp(-(pooled @ net.layer + net.offset[0])))) < 1e-5
