@@ -169,13 +169,24 @@ def language_model(counts: np.ndarray, terms: list[str]) -> np.ndarray:
     return np.log(three)
 
 
+def _bare(code: int) -> str:
+    decomposed = unicodedata.normalize("NFKD", chr(code)).lower()
+    return "".join(c for c in decomposed if not unicodedata.combining(c))
+
+
+# Latin letters with accents, combining accents, and wide forms.
+_BARE = {c: _bare(c) for c in (*range(0xC0, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F))}
+_OTHER = str.maketrans(OTHER_SCRIPTS)
+_LATIN = re.compile("[a-z]")
+
+
 def folded(token: str) -> str:
     """Without accents and wide forms; look-alikes of other scripts among Latin letters as these."""
     if token.isascii():
         return token
-    plain = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
-    if any("a" <= c <= "z" for c in plain):
-        plain = "".join(OTHER_SCRIPTS.get(c, c) for c in plain)
+    plain = token.translate(_BARE)
+    if not plain.isascii() and _LATIN.search(plain):
+        plain = plain.translate(_OTHER)
     return plain
 
 
@@ -366,6 +377,10 @@ class Reader:
             made.append(word)
         return made
 
+    def _may_hold(self, token: str) -> bool:
+        core = token.strip(_AROUND)
+        return bool(self._terms_in([core])) if core.isalpha() else self.spelled(closed(token))
+
     def _words(self, token: str) -> list[str]:
         """Words that a token without white space is restored to."""
         core = self._core(token)
@@ -379,7 +394,7 @@ class Reader:
             if words and self._terms_in(words):
                 return words
         other = folded(token)
-        if other != token:
+        if other != token and self._may_hold(other):
             words = self._words(other)
             if self._terms_in(words):
                 return words
