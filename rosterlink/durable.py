@@ -9,19 +9,39 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+# ``file:`` folders that have been tried, with whether the driver saw all that executors wrote there.
+_TRIED: dict[str, bool] = {}
+
+# Small files that each core writes when a folder is tried.
+FILES_PER_CORE = 3
+
+
+def is_shared(spark: SparkSession, folder: str) -> bool:
+    """Whether the driver sees what tasks on all executors write to a folder; tried once for each folder."""
+    if folder not in _TRIED:
+        path = f"{folder}/try-{uuid.uuid4().hex}"
+        n = FILES_PER_CORE * spark.sparkContext.defaultParallelism
+        written = spark.range(0, n, 1, n)
+        written.write.parquet(path)
+        _TRIED[folder] = spark.read.schema(written.schema).parquet(path).count() == n
+        _delete(spark, path)
+    return _TRIED[folder]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
     It is the checkpoint folder if the session names one, else a folder below the
-    warehouse, which a cluster shares as well. On a cluster a ``file:`` path would be
-    another disk on each machine, so it is refused.
+    warehouse, which a cluster shares as well. On a cluster a ``file:`` path may be a mount that all
+    machines share, or another disk on each of them: it is tried, and refused if files are missing.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-    if folder.startswith("file:") and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
+    folder = folder.rstrip("/")
+    if folder.startswith("file:") and not context.master.startswith("local") and not is_shared(spark, folder):
+        raise ValueError(f"executors do not share {folder}: set spark.checkpoint.dir to a folder that they share")
+    return folder
 
 
 # Tables that this driver has written.
