@@ -78,7 +78,8 @@ class Table(dict):
         older = self.older
         missing = list(new.difference(older)) if older else list(new)
         if len(missing) < len(new):
-            self.update((p, older[p]) for p in new.intersection(older))
+            # Not by intersection(), which would go through all of the older table.
+            self.update((p, older[p]) for p in new if p in older)
         self.update(zip(missing, make(missing), strict=True))
         self.long += [p for p in missing if len(p) > LONGEST_KEPT]
 

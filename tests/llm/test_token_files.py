@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rosterlink.llm import ids, packing
+from rosterlink.llm.pretokens import Table
 from rosterlink.llm.tokenizer import TextEncoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -156,3 +157,19 @@ def test_registered_packing(spark, documents):
         seen[r.doc_id] += r.length
     assert seen == {i: len(x) for i, x in own.items()}
     assert sum(seen.values()) <= 4096 * (max(r.sequence_id for r in made) + 1)
+
+
+def test_fill_reads_only_what_it_needs_of_the_older_table():
+    class Counted(str):
+        hashes = 0
+
+        def __hash__(self):
+            Counted.hashes += 1
+            return super().__hash__()
+
+    table = Table(lambda piece: b"made", 10)
+    table.older = {Counted(f"w{i}"): b"old" for i in range(1000)}
+    Counted.hashes = 0
+    table.fill({"w5", "w7", "x"}, lambda pieces: [b"new" for _ in pieces])
+    assert dict(table) == {"w5": b"old", "w7": b"old", "x": b"new"}
+    assert Counted.hashes < 10
