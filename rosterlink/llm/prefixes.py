@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import Table, byte_level_pattern, is_plain
+from .tokenizer import packed
 
 ROWS_AT_ONCE = 1000
 
 _NEVER = float("inf")
 
+# Characters of texts that are cut before new pre-tokens are encoded; a longer text stands alone.
+CHARACTERS_AT_ONCE = 4_000_000
+
 # A worker's memory of pairs is emptied when it holds so many.
 MOST_PAIRS = 2_000_000
 
@@ -66,13 +70,15 @@ class PrefixEncoder:
             parts, last = merged(ranks, token)
             if len(parts) == 1:
                 self.made_of[token] = last
-        # Lengths that tokens with these last two bytes have, longest first.
-        lengths: dict[bytes, set[int]] = {}
-        for token in self.made_of:
-            lengths.setdefault(token[-2:], set()).add(len(token))
-        self.lengths = {k: sorted(v | {1}, reverse=True) for k, v in lengths.items()}
+        self.longest = max(map(len, self.made_of), default=1)
+        # What tokens begin with. The longest of them that text ends with so far is the state of the
+        # search for the tokens that end there; steps between states are found when first taken.
+        self.begins = {t[:n] for t in self.made_of for n in range(len(t) + 1)}
+        self.states: dict[bytes, tuple] = {}
         self.ends: dict[tuple[bytes, int], list] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        # For each token, the tokens that have been tried before it, and whether they fit.
+        self.after: dict[bytes, dict[bytes, bool]] = {}
+        self.n_pairs = 0
 
     def _edge(self, token: bytes, side: int) -> list[tuple[bytes, float, float]]:
         """What stands at the left (0) or right (1) end of a token while it is built:
@@ -90,14 +96,38 @@ class PrefixEncoder:
             self.ends[token, side] = known
         return known
 
+    def _state(self, begin: bytes) -> tuple[dict[int, tuple], list[tuple], bytes]:
+        """Steps taken from a state so far; the tokens that end there, longest first, each
+        with its length and what has been tried before it; the state's bytes."""
+        known = self.states.get(begin)
+        if known is None:
+            ending = [begin[i:] for i in range(len(begin)) if begin[i:] in self.made_of]
+            known = {}, [(t, len(t), self.after.setdefault(t, {})) for t in ending], begin
+            self.states[begin] = known
+        return known
+
+    def _step(self, state: tuple, byte: int) -> tuple:
+        text = state[2] + bytes((byte,))
+        while text not in self.begins:
+            text = text[1:]
+        state[0][byte] = found = self._state(text)
+        return found
+
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether ``left`` and ``right`` stay two tokens when side by side."""
-        known = self.pairs.get((left, right))
+        tried = self.after.setdefault(right, {})
+        known = tried.get(left)
         if known is None:
-            known = self._fits(left, right)
-            self.pairs[left, right] = known
+            known = tried[left] = self._fits(left, right)
+            self.n_pairs += 1
         return known
 
+    def forget(self) -> None:
+        """Empty the memory of pairs."""
+        for tried in self.after.values():
+            tried.clear()
+        self.n_pairs = 0
+
     def _fits(self, left: bytes, right: bytes) -> bool:
         get = self.ranks.get
         for a, born_a, until_a in self._edge(left, 1):
@@ -117,14 +147,19 @@ class PrefixEncoder:
         ``last[i]`` is the last token of the first ``i + 1`` bytes. To append bytes,
         pass the table so far; after an edit, pass the part before the edit.
         """
-        made_of, fits, lengths, single = self.made_of, self.fits, self.lengths, [1]
-        for end in range(len(last) + 1, len(text) + 1):
-            for length in lengths.get(text[max(0, end - 2) : end], single):
-                begin = end - length
-                if begin < 0:
-                    continue
-                token = text[begin:end]
-                if token in made_of and (begin == 0 or fits(last[begin - 1], token)):
+        done = len(last)
+        state = self._state(b"")
+        for byte in text[max(0, done - self.longest) : done]:
+            state = state[0].get(byte) or self._step(state, byte)
+        for end, byte in enumerate(text[done:], done + 1):
+            state = state[0].get(byte) or self._step(state, byte)
+            for token, length, tried in state[1]:
+                if length == end:
+                    last.append(token)
+                    break
+                left = last[end - length - 1]
+                known = tried.get(left)
+                if known or known is None and self.fits(left, token):
                     last.append(token)
                     break
         return last
@@ -138,12 +173,30 @@ class PrefixEncoder:
             end -= len(last[end - 1])
         return found[::-1]
 
-    def ids(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        if len(self.pairs) > MOST_PAIRS:
-            self.pairs.clear()
-        return [self.ranks[t] for t in self.tokens(piece)]
+    def ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece. A piece takes over the table of the one before it as far as both
+        begin alike, so sorted pieces cost least."""
+        made, ranks, before, last = [], self.ranks, b"", []
+        for piece in pieces:
+            if piece in ranks:
+                made.append([ranks[piece]])
+                continue
+            if self.n_pairs > MOST_PAIRS:
+                self.forget()
+            same = 0
+            for a, b in zip(piece, before, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del last[same:]
+            before, found, end = piece, [], len(piece)
+            self.extend(piece, last)
+            while end:
+                token = last[end - 1]
+                found.append(ranks[token])
+                end -= len(token)
+            made.append(found[::-1])
+        return made
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -158,18 +211,49 @@ class TextPrefixEncoder:
         self.pieces = PrefixEncoder(read_ranks(path))
         self.any_text = regex.compile(pattern)
         self.cut = byte_level_pattern().findall
-        self.table = Table(
-            lambda x: np.array(self.pieces.ids(x.encode()), dtype="<u4").tobytes()
-        )
+        self.table = Table(lambda x: self._missing([x])[0])
+        known = self.pieces.bytes_of
+        self.bytes_of = pa.array([known.get(i) for i in range(max(known) + 1)], pa.binary())
+
+    def _missing(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, which are encoded in sorted order."""
+        order = sorted(pieces)
+        made = dict(zip(order, self.pieces.ids([x.encode() for x in order]), strict=True))
+        return [packed(made[x]) for x in pieces]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        made, first, size = [], 0, 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) > CHARACTERS_AT_ONCE:
+                made += self._some(texts[first:i])
+                first, size = i, 0
+            size += len(text)
+        return made + self._some(texts[first:])
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(x) if is_plain(x) else self.any_text.findall(x) for x in texts]
+        table = self.table
+        table.tidy()
+        table.fill(set().union(*cut), self._missing)
+        get = table.__getitem__
+        made = [b"".join(map(get, c)) for c in cut]
+        table.drop_long()
+        return made
 
     def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        self.table.tidy()
-        found = self.cut(text) if is_plain(text) else self.any_text.findall(text)
-        return b"".join(map(self.table.__getitem__, found))
+        return self.batch([text])[0]
+
+    def decode_batch(self, ids: list[bytes]) -> pa.Array:
+        """The bytes that the ids of each text stand for."""
+        borders = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+        found = self.bytes_of.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int32)[borders] if len(found) else np.zeros(len(borders), np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), data or pa.py_buffer(b"")])
 
     def decode(self, ids: bytes) -> bytes:
-        return self.pieces.decode(np.frombuffer(ids, "<u4").tolist())
+        return self.decode_batch([ids])[0].as_py()
 
 
 @functools.lru_cache(maxsize=2)
@@ -194,12 +278,12 @@ def round_trip(
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)
-                ids = [own.ids(x.as_py() or "") for x in batch.column(1)]
+                ids = own.batch([x or "" for x in batch.column(1).to_pylist()])
                 columns = [
                     batch.column(0),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array(ids, pa.binary()),
-                    pa.array([own.decode(x) for x in ids], pa.binary()),
+                    own.decode_batch(ids),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -56,6 +56,38 @@ def test_long_pieces():
         assert np.frombuffer(OWN.ids(text), "<u4").tolist() == LIBRARY.encode_ordinary(text)
 
 
+def test_pieces_that_begin_alike_share_their_table(monkeypatch):
+    """Only the bytes after the common beginning are searched for tokens."""
+    own, searched = prefixes.PrefixEncoder(RANKS), []
+    extend = own.extend
+    monkeypatch.setattr(own, "extend", lambda text, last: searched.append(len(text) - len(last)) or extend(text, last))
+    pieces = sorted(b"untranslatable" * 20 + str(i).encode() for i in range(100))
+    made = own.ids(pieces)
+    assert [own.decode(x) for x in made] == pieces
+    assert made == [[RANKS[t] for t in prefixes.merged(RANKS, p)[0]] for p in pieces]
+    assert sum(searched) < 280 + 200
+
+
+def test_new_pieces_of_a_batch_are_sorted(monkeypatch):
+    own, asked = prefixes.TextPrefixEncoder(PATH, PATTERN), []
+    ids = own.pieces.ids
+    monkeypatch.setattr(own.pieces, "ids", lambda pieces: asked.append(pieces) or ids(pieces))
+    texts = ["zorkling abzug zorklong", "", "abzuge zorkling"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.batch(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert asked == [sorted({b"zorkling", b" abzug", b" zorklong", b"abzuge", b" zorkling"})]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, max_size=6), st.integers(1, 30), st.integers(1, 50))
+def test_small_bounds_give_the_same(texts, characters, pairs):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(prefixes, "CHARACTERS_AT_ONCE", characters)
+        patch.setattr(prefixes, "MOST_PAIRS", pairs)
+        ids = OWN.batch(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [LIBRARY.encode_ordinary(t) for t in texts]
+        assert OWN.decode_batch(ids).to_pylist() == [t.encode() for t in texts]
+
+
 def test_operator(spark):
     texts = [(1, "It's  a test\n\n x"), (1, None), (None, ""), (3, "漢字 кот"), (4, "word " * 3000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, ids int")
