@@ -34,6 +34,7 @@ _FILE = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 # Settings of the Parquet writer.
 WRITER = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 * 2**20),
     "parquet.page.size": str(2**18),
@@ -60,7 +61,7 @@ def write_ids(
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)
-                ids = [x + end for x in encode_texts([x.as_py() or "" for x in batch.column(1)])]
+                ids = [x + end for x in encode_texts([x or "" for x in batch.column(1).to_pylist()])]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))

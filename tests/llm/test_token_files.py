@@ -173,3 +173,15 @@ def test_fill_reads_only_what_it_needs_of_the_older_table():
     table.fill({"w5", "w7", "x"}, lambda pieces: [b"new" for _ in pieces])
     assert dict(table) == {"w5": b"old", "w7": b"old", "x": b"new"}
     assert Counted.hashes < 10
+
+
+def test_new_byte_level_words_are_not_split_again():
+    """New pre-tokens go to the library's model; whole texts, with its own split, only if they are not plain."""
+    made, whole = TextEncoder(BYTES), []
+    inner = made._whole
+    made._whole = lambda texts: whole.append(texts) or inner(texts)
+    texts = ["It's zorkling  Ünïcöd\u0151 — 12½\n\tx\x00\x7f\xa0\xad y", "漢字 кот", "", "q" * 300 + " zorkling"]
+    expected = [library(BYTES).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.batch(texts)] == expected
+    assert whole == [["漢字 кот"]]
+    assert "q" * 300 not in made.table and " zorkling" in made.table and not made.table.long
